@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.config import Engine
 from tidemark.operators.cleaning import by_metric
@@ -89,7 +89,7 @@ def _upper_gamma(df: float, x: float) -> float:
     return tail
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if s is None or d is None or s != s else _upper_gamma(d, s) for s, d in zip(statistic, df)],

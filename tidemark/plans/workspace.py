@@ -37,9 +37,10 @@ HOURLY = CHECKED.with_(slot="hour", reporting_weekdays=tuple(range(7)), season=2
 class Workspace:
     def __init__(
         self, spark: SparkSession, observe: Callable[[], DataFrame], engine: Engine,
-        models: tuple = CHECKED_MODELS,
+        models: tuple = CHECKED_MODELS, folder: str = "",
     ):
         self.spark, self.observe, self.engine, self.models = spark, observe, engine, models
+        self.folder = folder
 
     # --- the series ---------------------------------------------------------
     @cached_property
@@ -253,7 +254,7 @@ def open_workspace(
         else:
             def observe() -> DataFrame:
                 return order_observations(spark, folder, engine, key)
-        made = Workspace(spark, observe, engine, models)
+        made = Workspace(spark, observe, engine, models, folder)
         if fresh:
             return made
         _remembered[name] = made
