@@ -113,9 +113,10 @@ def imbalance_forecast(
 def imbalance_summary(forecast: DataFrame) -> DataFrame:
     """The horizon of the largest absolute pressure and the range of the spread."""
     top = F.max_by(
-        F.struct("horizon", "net_pressure"), F.struct(F.abs("net_pressure"), -F.col("horizon"))
+        F.struct("horizon", "net_pressure"),
+        F.struct(F.round(F.abs("net_pressure"), 9), -F.col("horizon")),
     )
-    return forecast.groupBy("series_id").agg(
+    return forecast.filter(F.col("net_pressure").isNotNull()).groupBy("series_id").agg(
         top.alias("top"), F.min("std").alias("min_std"), F.max("std").alias("max_std")
     ).select(
         "series_id", F.col("top.horizon").alias("worst_horizon"),

