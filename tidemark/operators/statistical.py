@@ -112,86 +112,104 @@ def _smooth_group(spec: SmoothingSpec, m: int, pos, value, requests: pd.DataFram
 
 
 # -------------------------------------------------------------------- arima
-def _poly(terms: int, seasonal_terms: int, m: int) -> list[int]:
-    """Lags with a free coefficient in a product of a plain and a seasonal polynomial."""
-    plain = range(terms + 1)
-    return sorted({i + m * j for i in plain for j in range(seasonal_terms + 1)} - {0})
-
-
-def difference(y: np.ndarray, d: int, D: int, m: int) -> np.ndarray:
-    for _ in range(D):
-        y = np.concatenate([np.full(m, np.nan), y[m:] - y[:-m]])
-    for _ in range(d):
-        y = np.concatenate([[np.nan], y[1:] - y[:-1]])
-    return y
-
-
-def _lagged(x: np.ndarray, lags: list[int]) -> np.ndarray:
-    cols = np.full((x.size, len(lags)), np.nan)
-    for i, k in enumerate(lags):
-        if k < x.size:
-            cols[k:, i] = x[: x.size - k]
-    return cols
-
-
-def _solve(target: np.ndarray, design: np.ndarray) -> np.ndarray | None:
-    ok = np.isfinite(target) & np.isfinite(design).all(axis=1)
-    if ok.sum() < design.shape[1] + 2:
-        return None
-    return np.linalg.lstsq(design[ok], target[ok], rcond=None)[0]
+MEMORY = 60  # seasons an innovation filter looks back
+
+
+def stable(u: np.ndarray) -> np.ndarray:
+    """Unbounded numbers -> coefficients c of a polynomial 1 + c1 B + ... with its
+    roots outside the unit circle, through partial correlations."""
+    c = np.zeros(0)
+    for r in np.tanh(u):
+        c = np.append(c + r * c[::-1], r)
+    return c
+
+
+def polynomial(plain: np.ndarray, seasonal: np.ndarray, m: int) -> np.ndarray:
+    """Coefficients of the product of a plain and a seasonal lag polynomial."""
+    wide = np.zeros(seasonal.size * m + 1)
+    wide[0] = 1.0
+    wide[m::m] = seasonal
+    return np.convolve(np.r_[1.0, plain], wide)
+
+
+def ratio(numerator: np.ndarray, denominator: np.ndarray, length: int) -> np.ndarray:
+    """The first ``length`` weights of numerator(B) / denominator(B)."""
+    out = np.zeros(length)
+    out[: min(length, numerator.size)] = numerator[:length]
+    tail = denominator[1:]
+    for t in range(1, length):
+        k = min(t, tail.size)
+        out[t] -= tail[:k] @ out[t - k : t][::-1]
+    return out
 
 
 def arima_forecast(
-    y: np.ndarray, leads: list[int], spec: ArimaSpec, m: int
-) -> tuple[dict, float] | None:
-    """Two-stage least squares on the differenced series; gaps stay missing.
+    y: np.ndarray, leads: list[int], spec: ArimaSpec, m: int, steps: int = 12
+) -> dict[int, tuple[float, float]] | None:
+    """Conditional least squares on the differenced series, then the path ahead.
 
-    Stage one fits a long autoregression for the innovations, stage two the
-    model's own lags of series and innovations.  Unknown innovations count as 0
-    when the path is rolled forward, as does a missing difference.
+    Gaps are bridged linearly so that the filter can run, but a difference that
+    touches one is left out of the fit.  ``{lead: (point, half width)}``.
     """
     (p, d, q), (P, D, Q) = spec.order, spec.seasonal_order
-    w = difference(y, d, D, m)
-    first = _solve(w, _lagged(w, list(range(1, 2 * m + 1))))
-    if first is None:
-        return None
-    noise = w - _lagged(w, list(range(1, 2 * m + 1))) @ first
-    ar, ma = _poly(p, P, m), _poly(q, Q, m)
-    design = np.hstack([_lagged(w, ar), _lagged(noise, ma)])
-    beta = _solve(w, design)
-    if beta is None:
-        return None
-    resid = w - design @ beta
-    sigma = float(np.sqrt(np.nanmean(np.square(resid))))
-    phi = dict(zip(ar, beta[: len(ar)]))
-    theta = dict(zip(ma, beta[len(ar) :]))
-
-    horizon = max(leads)
-    n = y.size
-    ws = np.concatenate([np.nan_to_num(w), np.zeros(horizon)])
-    es = np.concatenate([np.nan_to_num(noise), np.zeros(horizon)])
-    # undo the differencing on a gap-free copy: a gap takes the last level seen
-    filled = pd.Series(y).ffill().bfill().to_numpy()
-    ys = np.concatenate([filled, np.zeros(horizon)])
-    undo = np.array([1.0])
+    difference = np.array([1.0])
     for _ in range(d):
-        undo = np.convolve(undo, [1.0, -1.0])
+        difference = np.convolve(difference, [1.0, -1.0])
     for _ in range(D):
-        undo = np.convolve(undo, np.r_[1.0, np.zeros(m - 1), -1.0])
-    psi = np.zeros(horizon)
-    for h in range(horizon):
-        t = n + h
-        ws[t] = sum(c * ws[t - k] for k, c in phi.items()) + sum(c * es[t - k] for k, c in theta.items())
-        ys[t] = ws[t] - sum(undo[k] * ys[t - k] for k in range(1, undo.size))
-        psi[h] = (1.0 if h == 0 else theta.get(h, 0.0)) + sum(
-            c * psi[h - k] for k, c in phi.items() if k <= h
+        difference = np.convolve(difference, np.r_[1.0, np.zeros(m - 1), -1.0])
+    reach = difference.size - 1
+    bridged = pd.Series(y).interpolate(limit_direction="both").to_numpy()
+    w = np.convolve(bridged, difference)[reach : y.size]
+    touched = np.convolve((~np.isfinite(y)).astype(float), np.abs(difference))[reach : y.size] > 0
+    count = p + P + q + Q
+    fit = ~touched
+    fit[: p + P * m] = False
+    if fit.sum() < count + 2:
+        return None
+    length = min(w.size, MEMORY * m)
+
+    def split(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = np.split(u, np.cumsum([p, P, q]))
+        return (
+            polynomial(stable(parts[0]), stable(parts[1]), m),
+            polynomial(stable(parts[2]), stable(parts[3]), m),
         )
-    # weights of the undifferenced series: divide by the differencing polynomial
-    level = np.zeros(horizon)
-    for h in range(horizon):
-        level[h] = psi[h] - sum(undo[k] * level[h - k] for k in range(1, min(h, undo.size - 1) + 1))
-    half = Z95 * sigma * np.sqrt(np.cumsum(np.square(level)))
-    return {h: (float(ys[n + h - 1]), float(half[h - 1])) for h in leads}, sigma
+
+    def innovations(u: np.ndarray) -> np.ndarray:
+        ar, ma = split(u)
+        return np.convolve(w, ratio(ar, ma, length))[: w.size]
+
+    u = np.r_[np.full(p + P, -0.1), np.full(q + Q, -0.3)]
+    e = innovations(u)
+    sse, damping = float(e[fit] @ e[fit]), 1e-2
+    for _ in range(steps):
+        if sse == 0.0 or count == 0:
+            break
+        slopes = np.column_stack([(innovations(u + 1e-4 * unit) - e)[fit] / 1e-4 for unit in np.eye(count)])
+        gram = slopes.T @ slopes
+        move = np.linalg.lstsq(gram + damping * np.diag(np.diag(gram) + 1e-12), -slopes.T @ e[fit], rcond=None)[0]
+        trial = np.clip(u + move, -4.0, 4.0)
+        fresh = innovations(trial)
+        better = float(fresh[fit] @ fresh[fit])
+        if better < sse:
+            settled = sse - better < 1e-7 * sse
+            u, e, sse, damping = trial, fresh, better, damping / 4
+            if settled:
+                break
+        else:
+            damping *= 8
+    ar, ma = split(u)
+
+    horizon, n = max(leads), y.size
+    whole = np.convolve(ar, difference)  # polynomial of the undifferenced series
+    path = np.r_[bridged, np.zeros(horizon)]
+    noise = np.r_[np.zeros(reach), e, np.zeros(horizon)]
+    for t in range(n, n + horizon):
+        k, j = min(t, whole.size - 1), min(t, ma.size - 1)
+        path[t] = ma[1 : j + 1] @ noise[t - j : t][::-1] - whole[1 : k + 1] @ path[t - k : t][::-1]
+    sigma = np.sqrt(sse / max(int(fit.sum()) - count, 1))
+    half = Z95 * sigma * np.sqrt(np.cumsum(np.square(ratio(ma, whole, horizon))))
+    return {h: (float(path[n + h - 1]), float(half[h - 1])) for h in leads}
 
 
 def arima_minimum(spec: ArimaSpec, m: int) -> int:
@@ -216,9 +234,8 @@ def _arima_group(spec: ArimaSpec, m: int, pos, value, requests: pd.DataFrame) ->
         if made is None:
             parts.append(_abstain(group, "too few complete rows to estimate the terms"))
             continue
-        path, _ = made
-        point = np.array([path[int(x)][0] for x in group["effective_lead"]])
-        half = np.array([path[int(x)][1] for x in group["effective_lead"]])
+        point = np.array([made[int(x)][0] for x in group["effective_lead"]])
+        half = np.array([made[int(x)][1] for x in group["effective_lead"]])
         bad = ~np.isfinite(point)
         parts.append(
             group.assign(
