@@ -250,23 +250,37 @@ def _arima_group(spec: ArimaSpec, m: int, pos, value, requests: pd.DataFrame) ->
 
 
 # ------------------------------------------------------------------- Spark
-def _fit(panel: DataFrame, requests: DataFrame, specs: dict, engine: Engine, group) -> DataFrame:
+def _fit(
+    panel: DataFrame, requests: DataFrame, specs: dict, engine: Engine, group, buckets: int = 1
+) -> DataFrame:
+    """Cogroup requests with histories and run ``group`` inside the tasks.
+
+    ``buckets`` splits the folds of one series over several tasks, each with its
+    own copy of the history; worth it where the fit, not the data, is the cost.
+    Both sides are spread explicitly, because these groups are small in bytes and
+    would otherwise be coalesced into a single task.
+    """
     season = engine.season
     asked_columns = [*KEYS, "train_cutoff_pos", "effective_lead"]
+    bucket = F.pmod(F.hash("train_cutoff_pos"), F.lit(buckets))
     # fresh names: both cogroup sides come from the same plans
     wanted = (
         requests.filter(F.col("metric").isin(*specs))
-        .select(*[F.col(c).alias(f"asked_{c}") for c in asked_columns])
+        .select(*[F.col(c).alias(f"asked_{c}") for c in asked_columns], bucket.alias("asked_bucket"))
         .distinct()
     )
-    asked_keys = [f"asked_{k}" for k in KEYS]
-    # history once per (series, metric, start); starts are two per series at most
-    starts = wanted.select(*[F.col(f"asked_{k}").alias(k) for k in KEYS]).distinct()
+    keys = [*KEYS, "bucket"]
+    asked_keys = [f"asked_{k}" for k in keys]
+    # history once per (series, metric, start, bucket); starts are two per series at most
+    starts = wanted.select(*[F.col(f"asked_{k}").alias(k) for k in keys]).distinct()
     history = (
         panel.select("series_id", "metric", "pos", "value")
         .join(starts, ["series_id", "metric"])
         .filter(F.col("pos") >= F.col("train_start_pos"))
     )
+    width = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    history = history.repartition(width, *keys)
+    wanted = wanted.repartition(width, *asked_keys)
 
     def run(past: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if asked.empty:
@@ -282,7 +296,7 @@ def _fit(panel: DataFrame, requests: DataFrame, specs: dict, engine: Engine, gro
             made[c] = made[c].astype(object).where(np.isfinite(made[c].astype(float)), None)
         return made
 
-    return history.groupBy(*KEYS).cogroup(wanted.groupBy(*asked_keys)).applyInPandas(run, OUTPUT)
+    return history.groupBy(*keys).cogroup(wanted.groupBy(*asked_keys)).applyInPandas(run, OUTPUT)
 
 
 def smoothing_fits(
@@ -294,7 +308,7 @@ def smoothing_fits(
 
 def arima_fits(panel: DataFrame, requests: DataFrame, specs: dict, engine: Engine) -> DataFrame:
     """Same contract as :func:`smoothing_fits`."""
-    return _fit(panel, requests, specs, engine, _arima_group)
+    return _fit(panel, requests, specs, engine, _arima_group, engine.arima_buckets)
 
 
 def attach(rows: DataFrame, fits: DataFrame, model: str) -> DataFrame:

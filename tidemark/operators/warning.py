@@ -36,10 +36,13 @@ def thresholds(panel: DataFrame, engine: Engine, percentiles: tuple | None = Non
     )
 
 
-def watch(panel: DataFrame, engine: Engine, percentiles: tuple | None = None) -> DataFrame:
+def watch(
+    panel: DataFrame, engine: Engine, percentiles: tuple | None = None, origins_only: bool = False
+) -> DataFrame:
     """Per slot and percentile: threshold and the offset of the first later crossing.
 
     Only observed values inside the lookahead count as a crossing.
+    ``origins_only`` keeps the slots that can be a fold origin.
     """
     w = by_metric()
     reach = max(h for h, _ in engine.tiers)
@@ -50,6 +53,9 @@ def watch(panel: DataFrame, engine: Engine, percentiles: tuple | None = None) ->
         F.percentile(_observed(), F.array(*[F.lit(p) for p in grid])).over(frame).alias("levels"),
         F.array(*[F.lead(_observed(), k).over(w) for k in range(1, reach + 1)]).alias("ahead"),
     )
+    if origins_only:
+        first = engine.first_origin_history - 1
+        base = base.filter((F.col("pos") >= first) & ((F.col("pos") - first) % engine.fold_step == 0))
     levels = F.array(*[F.lit(p) for p in grid])
     each = base.select(
         "series_id", "metric", "pos", "ahead",
@@ -117,7 +123,7 @@ def replay(
     chosen = points.join(
         champions.select(*key, F.col("champion").alias("model")), [*key, "model"]
     ).select(*key, "fold_id", "origin_pos", "origin_date", F.col("y_pred").alias("forecast"))
-    seen = watch(panel, engine, percentiles).withColumnRenamed("pos", "origin_pos")
+    seen = watch(panel, engine, percentiles, origins_only=True).withColumnRenamed("pos", "origin_pos")
     joined = chosen.join(seen, ["series_id", "metric", "origin_pos"])
     keys = ["series_id", "metric", "fold_id", "origin_pos", "origin_date", "percentile", "crossing_offset"]
     tiers = classify(joined, keys, engine)

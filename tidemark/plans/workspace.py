@@ -17,7 +17,7 @@ from tidemark.operators import (
     calendar, cleaning, features, folds, harness, imbalance, intervals, kpi, scoring, selection, warning,
 )
 from tidemark.plans.panels import event_observations, order_observations
-from tidemark.session import source_stamp, stage
+from tidemark.session import ship_package, source_stamp, stage
 
 # The engine of the registered queries: the smoothing model is the level-only
 # form and draws come from integer mixing, both of which plain SQL can repeat; the
@@ -243,6 +243,7 @@ def open_workspace(
     models: tuple = CHECKED_MODELS, fresh: bool = False,
 ) -> Workspace:
     """The workspace of a folder of raw tables; ``key`` "events" takes the hourly one."""
+    ship_package(spark)
     stamp = source_stamp(
         spark, *[f"{folder}/{t}.parquet" for t in ("orders", "lineitem", "customer", "events")]
     )

@@ -8,8 +8,10 @@ push filters into the scan.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,22 @@ def source_stamp(spark: SparkSession, *paths: str) -> tuple:
              fs.getFileStatus(path).getModificationTime())
         )
     return tuple(out)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run inside tasks import it there, wherever the driver was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix="spark-")) / package.name), "zip", package.parent, package.name
+    )
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
