@@ -31,7 +31,7 @@ def test_interpolation_edges_match_pandas(spark):
     values = [None, None, 4, None, None, 9, None, 30, None, None]
     rows = [("s", i, v) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "series_id string, pos int, v bigint")
-    got = [r.x for r in df.select("pos", cleaning.interpolated(F.col("v"), F.col("pos")).alias("x")).orderBy("pos").collect()]
+    got = [r.x for r in cleaning.with_known(df, ("v",)).select("pos", cleaning.interpolated("v").alias("x")).orderBy("pos").collect()]
     want = pd.Series(values, dtype=float).interpolate("linear").round()
     assert got == [None if np.isnan(x) else int(x) for x in want]
 

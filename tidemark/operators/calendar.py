@@ -109,9 +109,9 @@ def series_bounds(master: DataFrame, engine: Engine, cap_date: str | None = None
         )
     )
     real = ~F.col("is_imputed")
-    rank = F.count_if(real).over(
-        by_series().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    )
+    # real slots from this one to the end = all - those before; both cheap frames
+    before = by_series().rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.count_if(real).over(_whole()) - F.count_if(real).over(before)
     ranked = master.select("series_id", "ds", "pos", "is_imputed", cap.alias("cap_date"), rank.alias("rank"))
     return (
         ranked.groupBy("series_id")

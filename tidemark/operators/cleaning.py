@@ -8,19 +8,39 @@ from tidemark.config import Engine
 from tidemark.operators.calendar import align, by_series, keep_reporting_slots
 
 
-def interpolated(value: Column, pos: Column) -> Column:
-    """Linear fill by position, rounded half to even.
+def with_known(rows: DataFrame, measures: tuple) -> DataFrame:
+    """Per measure and slot: the last present ``(pos, value)`` up to it and the next after it.
+
+    Both are running look-ups of one ordering; a frame that reaches to the end of
+    the partition would be evaluated anew for every row.
+    """
+    so_far = by_series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = rows.select(
+        "*",
+        *[
+            F.when(F.col(m).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(m).alias("v"))).alias(f"_{m}")
+            for m in measures
+        ],
+    )
+    return marked.select(
+        "*",
+        *[F.last(f"_{m}", ignorenulls=True).over(so_far).alias(f"_{m}_before") for m in measures],
+        *[
+            F.expr(f"lead(_{m}) IGNORE NULLS OVER (PARTITION BY series_id ORDER BY pos)").alias(f"_{m}_after")
+            for m in measures
+        ],
+    )
+
+
+def interpolated(m: str) -> Column:
+    """Linear fill by position, rounded half to even, over :func:`with_known` rows.
 
     A leading gap stays NULL and a trailing gap carries the last value.
     """
-    before = Window.partitionBy("series_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("series_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(value.isNotNull(), F.struct(pos.alias("p"), value.alias("v")))
-    a = F.last(known, ignorenulls=True).over(before)
-    b = F.first(known, ignorenulls=True).over(after)
+    a, b = F.col(f"_{m}_before"), F.col(f"_{m}_after")
     slope = F.try_divide(b["v"] - a["v"], (b["p"] - a["p"]).cast("double"))
-    line = F.bround(slope * (pos - a["p"]) + a["v"]).cast("bigint")
-    return F.coalesce(value, F.when(b.isNull(), a["v"]).otherwise(line))
+    line = F.bround(slope * (F.col("pos") - a["p"]) + a["v"]).cast("bigint")
+    return F.coalesce(F.col(m), F.when(b.isNull(), a["v"]).otherwise(line))
 
 
 def master_series(obs: DataFrame, engine: Engine) -> DataFrame:
@@ -34,14 +54,14 @@ def master_series(obs: DataFrame, engine: Engine) -> DataFrame:
 
 
 def fill_stocks(aligned: DataFrame, engine: Engine) -> DataFrame:
-    stocks = set(engine.stocks)
-    return aligned.select(
+    stocks = engine.stocks
+    return with_known(aligned, stocks).select(
         "series_id",
         "ds",
         "pos",
         "is_imputed",
         *[
-            interpolated(F.col(m), F.col("pos")).alias(m) if m in stocks else F.col(m)
+            interpolated(m).alias(m) if m in stocks else F.col(m)
             for m in engine.measure_names
         ],
         *[F.col("is_imputed").alias(f"is_imputed_{m}") for m in engine.stocks],

@@ -30,9 +30,19 @@ def check_models(models: tuple) -> None:
         raise ValueError(f"unknown model {sorted(unknown)}; expected some of {sorted(known)}")
 
 
-def requests(folds: DataFrame, state: DataFrame, engine: Engine) -> DataFrame:
-    """Fold x horizon x rule x metric rows carrying their training state."""
-    return fold_grid(training_windows(folds, state, engine))
+def requests(folds: DataFrame, state: DataFrame, panel: DataFrame, engine: Engine) -> DataFrame:
+    """Fold x horizon x rule x metric rows with their training state and actual.
+
+    The actual is joined here, once per point, and not once per model.
+    """
+    rows = fold_grid(training_windows(folds, state, engine))
+    return rows.join(actuals(panel), ["series_id", "metric", "test_pos"]).withColumn(
+        "row_gap_adjacent",
+        F.col("origin_is_imputed")
+        | F.col("origin_adjacent_to_gap")
+        | F.col("test_is_imputed")
+        | F.col("test_adjacent_to_gap"),
+    )
 
 
 def forecasts(
@@ -65,18 +75,6 @@ def forecasts(
     return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
 
 
-def with_actuals(made: DataFrame, panel: DataFrame) -> DataFrame:
-    """Attach the value at the test slot and the row-level gap flag."""
-    joined = made.join(actuals(panel), ["series_id", "metric", "test_pos"])
-    return joined.withColumn(
-        "row_gap_adjacent",
-        F.col("origin_is_imputed")
-        | F.col("origin_adjacent_to_gap")
-        | F.col("test_is_imputed")
-        | F.col("test_adjacent_to_gap"),
-    ).select(*COLUMNS)
-
-
 def walk_forward(
     folds: DataFrame,
     state: DataFrame,
@@ -86,8 +84,8 @@ def walk_forward(
     learned: DataFrame | None = None,
 ) -> DataFrame:
     """The tidy prediction table: one row per (series, metric, model, rule, fold, horizon)."""
-    rows = requests(folds, state, engine)
-    return with_actuals(forecasts(rows, panel, engine, models, learned), panel)
+    rows = requests(folds, state, panel, engine)
+    return forecasts(rows, panel, engine, models, learned).select(*COLUMNS)
 
 
 def scorable() -> Column:

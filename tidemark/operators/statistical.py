@@ -133,18 +133,20 @@ def polynomial(plain: np.ndarray, seasonal: np.ndarray, m: int) -> np.ndarray:
 
 
 def ratio(numerator: np.ndarray, denominator: np.ndarray, length: int) -> np.ndarray:
-    """The first ``length`` weights of numerator(B) / denominator(B)."""
-    out = np.zeros(length)
-    out[: min(length, numerator.size)] = numerator[:length]
-    tail = denominator[1:]
+    """The first ``length`` weights of numerator(B) / denominator(B), row by row."""
+    numerator, denominator = np.atleast_2d(numerator), np.atleast_2d(denominator)
+    out = np.zeros((numerator.shape[0], length))
+    out[:, : numerator.shape[1]] = numerator[:, :length]
+    tail = denominator[:, :0:-1]  # oldest lag first
+    width = tail.shape[1]
     for t in range(1, length):
-        k = min(t, tail.size)
-        out[t] -= tail[:k] @ out[t - k : t][::-1]
+        k = min(t, width)
+        out[:, t] -= (tail[:, width - k :] * out[:, t - k : t]).sum(axis=1)
     return out
 
 
 def arima_forecast(
-    y: np.ndarray, leads: list[int], spec: ArimaSpec, m: int, steps: int = 12
+    y: np.ndarray, leads: list[int], spec: ArimaSpec, m: int, steps: int = 10
 ) -> dict[int, tuple[float, float]] | None:
     """Conditional least squares on the differenced series, then the path ahead.
 
@@ -168,6 +170,9 @@ def arima_forecast(
         return None
     length = min(w.size, MEMORY * m)
 
+    size = 1 << int(np.ceil(np.log2(w.size + length)))
+    spectrum = np.fft.rfft(w, size)
+
     def split(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = np.split(u, np.cumsum([p, P, q]))
         return (
@@ -175,30 +180,34 @@ def arima_forecast(
             polynomial(stable(parts[2]), stable(parts[3]), m),
         )
 
-    def innovations(u: np.ndarray) -> np.ndarray:
-        ar, ma = split(u)
-        return np.convolve(w, ratio(ar, ma, length))[: w.size]
+    def innovations(rows: np.ndarray) -> np.ndarray:
+        """Filtered innovations of several parameter vectors at once."""
+        pairs = [split(u) for u in rows]
+        weights = ratio(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]), length)
+        return np.fft.irfft(np.fft.rfft(weights, size, axis=1) * spectrum, size, axis=1)[:, : w.size]
 
+    nudge = np.vstack([np.zeros(count), 1e-4 * np.eye(count)])
     u = np.r_[np.full(p + P, -0.1), np.full(q + Q, -0.3)]
-    e = innovations(u)
-    sse, damping = float(e[fit] @ e[fit]), 1e-2
+    around = innovations(u + nudge)
+    sse, damping = float(around[0, fit] @ around[0, fit]), 1e-2
     for _ in range(steps):
-        if sse == 0.0 or count == 0:
+        if sse <= 1e-12 * float(w @ w) or count == 0:
             break
-        slopes = np.column_stack([(innovations(u + 1e-4 * unit) - e)[fit] / 1e-4 for unit in np.eye(count)])
+        slopes = (around[1:, fit] - around[0, fit]).T / 1e-4
         gram = slopes.T @ slopes
-        move = np.linalg.lstsq(gram + damping * np.diag(np.diag(gram) + 1e-12), -slopes.T @ e[fit], rcond=None)[0]
-        trial = np.clip(u + move, -4.0, 4.0)
-        fresh = innovations(trial)
-        better = float(fresh[fit] @ fresh[fit])
+        pull = gram + damping * np.diag(np.diag(gram) + 1e-12)
+        trial = np.clip(u - np.linalg.lstsq(pull, slopes.T @ around[0, fit], rcond=None)[0], -4.0, 4.0)
+        fresh = innovations(trial + nudge)
+        better = float(fresh[0, fit] @ fresh[0, fit])
         if better < sse:
-            settled = sse - better < 1e-7 * sse
-            u, e, sse, damping = trial, fresh, better, damping / 4
+            settled = sse - better < 1e-5 * sse
+            u, around, sse, damping = trial, fresh, better, damping / 4
             if settled:
                 break
         else:
             damping *= 8
     ar, ma = split(u)
+    e = around[0]
 
     horizon, n = max(leads), y.size
     whole = np.convolve(ar, difference)  # polynomial of the undifferenced series
@@ -208,7 +217,7 @@ def arima_forecast(
         k, j = min(t, whole.size - 1), min(t, ma.size - 1)
         path[t] = ma[1 : j + 1] @ noise[t - j : t][::-1] - whole[1 : k + 1] @ path[t - k : t][::-1]
     sigma = np.sqrt(sse / max(int(fit.sum()) - count, 1))
-    half = Z95 * sigma * np.sqrt(np.cumsum(np.square(ratio(ma, whole, horizon))))
+    half = Z95 * sigma * np.sqrt(np.cumsum(np.square(ratio(ma, whole, horizon)[0])))
     return {h: (float(path[n + h - 1]), float(half[h - 1])) for h in leads}
 
 

@@ -303,13 +303,13 @@ add("lag_features", lambda w: features.lag_and_rolling(w.master, w.engine).selec
 ROLLS = [f"rolling_{k}_{s}_{c}" for c in SOURCES for k in (7, 14) for s in ("mean", "var", "nobs")]
 # variances of the level reach 1e10, where six decimals exceed double precision
 add("rolling_features", lambda w: features.lag_and_rolling(w.master, w.engine).select(
-        "series_id", "pos", *[F.round(F.col(c) + 1e-4, 2).alias(c) if c.endswith("var_load") else F.col(c) for c in ROLLS]),
+        "series_id", "pos", *[F.round(F.col(c) + 1e-4).cast("bigint").alias(c) if c.endswith("var_load") else F.col(c) for c in ROLLS]),
     "SELECT series_id, pos, " + ", ".join(
-        f"avg({c}) OVER w{k} AS rolling_{k}_mean_{c}, {"round(var_samp(load) OVER w%d + 1e-4, 2)" % k if c == "load" else f"var_samp({c}) OVER w{k}"} AS rolling_{k}_var_{c}, CAST(count({c}) OVER w{k} AS DOUBLE) AS rolling_{k}_nobs_{c}"
+        f"avg({c}) OVER w{k} AS rolling_{k}_mean_{c}, {"CAST(round(var_samp(load) OVER w%d + 1e-4) AS BIGINT)" % k if c == "load" else f"var_samp({c}) OVER w{k}"} AS rolling_{k}_var_{c}, CAST(count({c}) OVER w{k} AS DOUBLE) AS rolling_{k}_nobs_{c}"
         for c in SOURCES for k in (7, 14))
     + f" FROM {SOURCE_ROWS} WINDOW " + ", ".join(
         f"w{k} AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)" for k in (7, 14)),
-    " ".join(ROLLS))
+    " ".join(c for c in ROLLS if not c.endswith("var_load")))
 
 FIRST = "make_date(y, {m}, 1)"
 NTH = "CAST(make_date(y, {m}, 1) + CAST((({d} - isodow(make_date(y, {m}, 1))) % 7 + 7) % 7 + 7 * ({n} - 1) AS INTEGER) AS DATE)"
@@ -414,8 +414,8 @@ add("metrics_hourly", lambda w: scoring.metrics_matrix(w.predictions), O.measure
 
 def _candidate_run(w: Workspace) -> DataFrame:
     """Two separate runs over the same folds, stacked, support over the union."""
-    one = harness.with_actuals(harness.forecasts(w.requests, w.panel, w.engine, ("naive", "moving_average")), w.panel)
-    two = harness.with_actuals(harness.forecasts(w.requests, w.panel, w.engine, ("seasonal_naive",)), w.panel)
+    one = harness.forecasts(w.requests, w.panel, w.engine, ("naive", "moving_average"))
+    two = harness.forecasts(w.requests, w.panel, w.engine, ("seasonal_naive",))
     return harness.with_common_support(harness.stack(one, two)).select(
         "series_id", "metric", "model", "window_rule", "fold_id", "horizon", "y_pred", "common_support")
 
@@ -458,7 +458,7 @@ FULL_ENGINE = CHECKED.with_(smoothing=Engine().smoothing, trees=20, boosting_rou
 def _statistical(model: str) -> Callable[[Workspace], DataFrame]:
     def plan(w: Workspace) -> DataFrame:
         targets = w.requests.filter(F.col("metric").isin(*w.engine.targets))
-        return harness.with_actuals(harness.forecasts(targets, w.panel, w.engine, (model,)), w.panel)
+        return harness.forecasts(targets, w.panel, w.engine, (model,))
     return plan
 
 
@@ -467,21 +467,15 @@ add("forecast_sarima", lambda w: _statistical("sarima")(w).select(*FITTED), engi
 add("native_interval_coverage", lambda w: scoring.native_coverage(_statistical("exponential_smoothing")(w), w.engine), engine=FULL_ENGINE)
 
 
-def _learned(w: Workspace, family: str):
-    capped = w.engine.with_(rules=("capped",))
-    rows = w.requests.filter(F.col("window_rule") == "capped")
-    return learned.learned_forecasts(rows, w.features, w.targets, capped, (family,))
-
-
 def _learned_plan(family: str) -> Callable[[Workspace], DataFrame]:
-    return lambda w: harness.with_actuals(_learned(w, family)[0], w.panel).select(*FITTED)
+    return lambda w: w.learned(family)[0].select(*FITTED)
 
 
 add("forecast_random_forest", _learned_plan("random_forest"), engine=FULL_ENGINE)
 add("forecast_gradient_boosting", _learned_plan("gradient_boosting"), engine=FULL_ENGINE)
-add("feature_importances", lambda w: learned.importances(_learned(w, "random_forest")[1], w.spark), engine=FULL_ENGINE)
+add("feature_importances", lambda w: learned.importances(w.learned("random_forest")[1], w.spark), engine=FULL_ENGINE)
 add("top_features_own_share", lambda w: learned.own_share(learned.top_features(
-    learned.importances(_learned(w, "random_forest")[1], w.spark))), engine=FULL_ENGINE)
+    learned.importances(w.learned("random_forest")[1], w.spark))), engine=FULL_ENGINE)
 add("family_winners", lambda w: w.pairs, "SELECT * FROM pairs")
 add("ensemble_forecasts", lambda w: w.ensemble.select(
         "series_id", "metric", "model", "window_rule", "fold_id", "horizon", "y_true", "y_pred", "ensemble_components"),

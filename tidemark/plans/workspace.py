@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.config import BASELINES, LEVEL_ONLY, Engine
 from tidemark.operators import (
-    calendar, cleaning, features, folds, harness, imbalance, intervals, kpi, scoring, selection, warning,
+    calendar, cleaning, features, folds, harness, imbalance, intervals, kpi, learned, scoring, selection, warning,
 )
 from tidemark.plans.panels import event_observations, order_observations
 from tidemark.session import ship_package, source_stamp, stage
@@ -41,6 +41,7 @@ class Workspace:
     ):
         self.spark, self.observe, self.engine, self.models = spark, observe, engine, models
         self.folder = folder
+        self._learned: dict = {}
 
     # --- the series ---------------------------------------------------------
     @cached_property
@@ -88,15 +89,13 @@ class Workspace:
 
     @cached_property
     def requests(self) -> DataFrame:
-        return stage(folds.fold_grid(self.windows), "requests")
+        return stage(harness.requests(self.folds, self.state, self.panel, self.engine), "requests")
 
     @cached_property
     def predictions(self) -> DataFrame:
         """The fact table of the backtest with its common-support flag."""
         made = harness.forecasts(self.requests, self.panel, self.engine, self.models)
-        return stage(
-            harness.with_common_support(harness.with_actuals(made, self.panel)), "predictions"
-        )
+        return stage(harness.with_common_support(made.select(*harness.COLUMNS)), "predictions")
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -128,6 +127,15 @@ class Workspace:
         """Every candidate's residuals, the ensemble's included."""
         return scoring.residuals(self.predictions).unionByName(scoring.residuals(self.ensemble))
 
+    def learned(self, family: str) -> tuple[DataFrame, dict]:
+        """Forecasts and fitted models of one tree family on the newest folds, fitted once."""
+        if family not in self._learned:
+            e = self.engine.with_(rules=(self.engine.selection_rule,))
+            rows = self.requests.filter(F.col("window_rule") == self.engine.selection_rule)
+            made, models = learned.learned_forecasts(rows, self.features, self.targets, e, (family,))
+            self._learned[family] = (stage(made, "learned"), models)
+        return self._learned[family]
+
     # --- selection -----------------------------------------------------------
     @cached_property
     def evidence(self) -> DataFrame:
