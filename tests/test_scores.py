@@ -61,3 +61,9 @@ def test_interpolated_actuals_are_counted_not_scored(spark):
     assert (got.n_scored, got.n_total, got.n_excluded_interpolated_actual) == (1, 1, 1)
     assert (got.MAE, got.n_folds, got.n_gap_contaminated_folds) == (2.0, 2, 1)
     assert metrics_matrix(table, ["series_id"], only_observed=False).first().n_scored == 2
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    assert one(spark, lambda y, f, c: S.correlation(y, f), [1.0, 2.0, 3.0], [5.0, 5.0, 5.0]) is None
+    assert one(spark, lambda y, f, c: S.correlation(y, f), [1.0, 2.0, 4.0, None], [2.0, 4.0, 8.0, 1.0]) == pytest.approx(1.0)
+    assert one(spark, lambda y, f, c: S.correlation(y, f), [1.0], [2.0]) is None

@@ -73,3 +73,11 @@ def measures(y: Column, f: Column, scale: Column | None = None) -> list[Column]:
         (F.lit(None).cast("double") if scale is None else pooled_mase(y, f, scale)).alias("MASE"),
         mean_error(y, f).alias("ME_bias"),
     ]
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over the pairs present; NULL where either side is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    spread = F.stddev_samp(x) * F.stddev_samp(y)
+    return F.try_divide(F.covar_samp(x, y), F.nullif(spread, F.lit(0.0)))

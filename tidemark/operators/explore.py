@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.config import Engine
+from tidemark.functions.scores import correlation
 from tidemark.operators.cleaning import by_metric
 from tidemark.operators.quality import weekday_name
 
@@ -48,7 +49,7 @@ def breaks(panel: DataFrame) -> DataFrame:
     frame = by_metric().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # rounded far below any real difference, so equal sums tie the same everywhere
     path = centred.select(
-        *TARGET, "ds", "i", "n", F.round(F.sum("dev").over(frame), 6).alias("cusum")
+        *TARGET, "ds", "i", "n", F.round(F.sum("dev").over(frame), 3).alias("cusum")
     ).withColumn("late", F.col("i") >= F.floor(F.col("n") / 2))
     strongest = F.struct(F.abs("cusum").alias("size"), (-F.col("i")).alias("first"))
     where = F.struct("ds", "i", "cusum", "late")
@@ -345,12 +346,8 @@ def correlations(master: DataFrame, engine: Engine, form: str = "levels", width:
     rows = master.filter(~F.col("is_imputed")).select("series_id", *[shaped(c).alias(c) for c in names])
     pairs = [(a, b) for a in names for b in names]
 
-    def corr(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        return F.corr(F.when(both, F.col(a)), F.when(both, F.col(b)))
-
     table = rows.groupBy("series_id").agg(
-        *[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+        *[correlation(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
     )
     each = F.array(*[
         F.struct(F.lit(a).alias("measure_a"), F.lit(b).alias("measure_b"), F.col(f"c{i}").alias("correlation"))

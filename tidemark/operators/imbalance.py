@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.config import Engine
 from tidemark.functions.intervals import difference_variance
+from tidemark.functions.scores import correlation
 from tidemark.operators.scoring import residuals
 
 # How a sign reads.
@@ -35,7 +36,7 @@ def _paired(component: DataFrame, target: DataFrame) -> DataFrame:
 def _moments() -> list:
     return [
         F.count(F.lit(1)).alias("n_paired"),
-        F.corr("a", "b").alias("correlation"),
+        correlation(F.col("a"), F.col("b")).alias("correlation"),
         F.covar_samp("a", "b").alias("covariance"),
         F.var_samp("a").alias("var_component"),
         F.var_samp("b").alias("var_target"),

@@ -292,9 +292,15 @@ def two_scope_selection(predictions: DataFrame, engine: Engine) -> DataFrame:
         F.col("n_scored").alias("full_dev_n"),
     )
     agree = F.col("champion_full_dev").eqNullSafe(F.col("champion"))
+    none = F.lit(0).cast("bigint")
+    joined = governing.join(full, KEY, "full").join(full_ranking(predictions, engine), KEY, "left")
+    # a cell without a scorable point in the governing scope still gets its row
     return (
-        governing.join(full, KEY, "full")
-        .join(full_ranking(predictions, engine), KEY, "left")
+        joined.withColumns({
+            "reason": F.coalesce("reason", F.lit(NO_FINITE)),
+            "n_scored": F.coalesce("n_scored", none),
+            "full_dev_n": F.coalesce("full_dev_n", none),
+        })
         .select(
             "*",
             agree.alias("rankings_agree"),

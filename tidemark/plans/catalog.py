@@ -139,18 +139,18 @@ def _registry_round_trip(w: Workspace) -> DataFrame:
 
 
 add("registry_json_round_trip", _registry_round_trip, """
-    SELECT g.series_id, g.metric, g.horizon, g.champion, g.champion_mae, g.reason, f.champion AS champion_full_dev,
-        f.champion IS NOT DISTINCT FROM g.champion AS rankings_agree, g.n_scored, g.gate_cleared_by, g.tied_with_best, g.bias_screened_out,
+    SELECT f.series_id, f.metric, f.horizon, g.champion, g.champion_mae, coalesce(g.reason, 'no candidate produced a finite MAE') AS reason, f.champion AS champion_full_dev,
+        f.champion IS NOT DISTINCT FROM g.champion AS rankings_agree, coalesce(g.n_scored, 0) AS n_scored, g.gate_cleared_by, g.tied_with_best, g.bias_screened_out,
         CAST(n.n_ranked AS INTEGER) AS n_ranked, CAST(e.n_judged AS INTEGER) AS n_bias, CAST(e.n_judged AS INTEGER) AS n_stability,
         CAST(e.n_bootstrap AS INTEGER) AS n_bootstrap, t.bias_ratio AS champion_bias_ratio, t.tail_ratio AS champion_tail_ratio
-    FROM champions g
-    JOIN f_champions f ON f.series_id = g.series_id AND f.metric = g.metric AND f.horizon = g.horizon
+    FROM f_champions f
+    LEFT JOIN champions g ON f.series_id = g.series_id AND f.metric = g.metric AND f.horizon = g.horizon
     JOIN (SELECT series_id, metric, horizon, count(*) AS n_ranked FROM f_maes GROUP BY 1, 2, 3) n
-        ON n.series_id = g.series_id AND n.metric = g.metric AND n.horizon = g.horizon
-    JOIN (SELECT series_id, metric, horizon, count(CASE WHEN tied OR NOT any_passed THEN 1 END) AS n_judged,
+        ON n.series_id = f.series_id AND n.metric = f.metric AND n.horizon = f.horizon
+    LEFT JOIN (SELECT series_id, metric, horizon, count(CASE WHEN tied OR NOT any_passed THEN 1 END) AS n_judged,
               count(CASE WHEN any_passed AND viable AND model <> leader_model THEN 1 END) AS n_bootstrap FROM tied GROUP BY 1, 2, 3) e
         ON e.series_id = g.series_id AND e.metric = g.metric AND e.horizon = g.horizon
-    JOIN tied t ON t.series_id = g.series_id AND t.metric = g.metric AND t.horizon = g.horizon AND t.model = g.champion""",
+    LEFT JOIN tied t ON t.series_id = g.series_id AND t.metric = g.metric AND t.horizon = g.horizon AND t.model = g.champion""",
     "champion_mae champion_bias_ratio champion_tail_ratio")
 add("registry_document", lambda w: tables.registry_document(
     _registry(w),
@@ -614,13 +614,13 @@ add("two_scope_selection", lambda w: selection.two_scope_selection(w.combined, w
         "series_id", "metric", "horizon", "champion", "champion_mae", "champion_full_dev", "champion_full_dev_mae", "full_dev_numerical_leader", "full_dev_n",
         "rankings_agree", "governing_scope_note", "n_scored", "selection_scope", "window_rule",
         F.array_join(F.transform("full_dev_ranking", lambda x: x["model"]), ",").alias("full_dev_order")), """
-    SELECT g.series_id, g.metric, g.horizon, g.champion, g.champion_mae, f.champion AS champion_full_dev, f.champion_mae AS champion_full_dev_mae,
+    SELECT f.series_id, f.metric, f.horizon, g.champion, g.champion_mae, f.champion AS champion_full_dev, f.champion_mae AS champion_full_dev_mae,
         f.numerical_leader AS full_dev_numerical_leader, f.n_scored AS full_dev_n, f.champion IS NOT DISTINCT FROM g.champion AS rankings_agree,
         CASE WHEN f.champion IS NOT DISTINCT FROM g.champion THEN 'both scopes select the same champion' ELSE 'rankings DISAGREE; the recent-regime ranking governs' END AS governing_scope_note,
-        g.n_scored, 'post_cutoff_common_support' AS selection_scope, 'capped' AS window_rule, o.full_dev_order
-    FROM champions g JOIN f_champions f ON f.series_id = g.series_id AND f.metric = g.metric AND f.horizon = g.horizon
+        coalesce(g.n_scored, 0) AS n_scored, 'post_cutoff_common_support' AS selection_scope, 'capped' AS window_rule, o.full_dev_order
+    FROM f_champions f LEFT JOIN champions g ON f.series_id = g.series_id AND f.metric = g.metric AND f.horizon = g.horizon
     JOIN (SELECT series_id, metric, horizon, string_agg(model, ',' ORDER BY MAE, model) AS full_dev_order FROM f_maes GROUP BY 1, 2, 3) o
-        ON o.series_id = g.series_id AND o.metric = g.metric AND o.horizon = g.horizon""", "champion_mae champion_full_dev_mae")
+        ON o.series_id = f.series_id AND o.metric = f.metric AND o.horizon = f.horizon""", "champion_mae champion_full_dev_mae")
 add("champion_lookup", lambda w: selection.champion_for(w.champions, "load", 7).select("series_id", "champion"),
     "SELECT series_id, champion FROM champions WHERE metric = 'load' AND horizon = 7")
 
@@ -775,7 +775,7 @@ O.block("stepped", """
     FROM (SELECT series_id, metric, pos, ds, is_imputed, value - lag(value) OVER (PARTITION BY series_id, metric ORDER BY pos) AS value
           FROM panel WHERE value IS NOT NULL) WHERE value IS NOT NULL""")
 add("break_scan", lambda w: explore.breaks(w.targets), """
-    WITH c AS (SELECT series_id, metric, ds, i, n // 2 AS half, round(sum(dev) OVER (PARTITION BY series_id, metric ORDER BY i ROWS UNBOUNDED PRECEDING), 6) AS cusum
+    WITH c AS (SELECT series_id, metric, ds, i, n // 2 AS half, round(sum(dev) OVER (PARTITION BY series_id, metric ORDER BY i ROWS UNBOUNDED PRECEDING), 3) AS cusum
         FROM (SELECT *, value - avg(value) OVER (PARTITION BY series_id, metric) AS dev FROM present WHERE metric <> 'intake')),
     d AS (SELECT *, row_number() OVER (PARTITION BY series_id, metric ORDER BY abs(cusum) DESC, i) AS rn FROM c),
     top AS (SELECT * FROM d WHERE rn = 1),
@@ -870,7 +870,7 @@ def _corr(form: str) -> str:
     rows = f"""(SELECT series_id, {cols} FROM master WHERE NOT is_imputed WINDOW w AS (PARTITION BY series_id ORDER BY pos),
         f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"""
     return " UNION ALL ".join(
-        f"SELECT series_id, '{a}' AS measure_a, '{b}' AS measure_b, corr({a}, {b}) AS correlation FROM {rows} GROUP BY series_id" for a in names for b in names)
+        f"SELECT series_id, '{a}' AS measure_a, '{b}' AS measure_b, nullif(corr({a}, {b}), 'nan'::DOUBLE) AS correlation FROM {rows} GROUP BY series_id" for a in names for b in names)
 
 
 for _form in ("levels", "differences", "detrended"):

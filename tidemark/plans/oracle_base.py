@@ -389,15 +389,15 @@ block("loo", """
 
 def band(counts: str) -> str:
     z = "CAST(1.96 AS DOUBLE)"
-    p = "(CAST(n_covered AS DOUBLE) / n)"
+    p = "(CAST(n_covered AS DOUBLE) / nullif(n, 0))"
     return f"""
-        SELECT *, CAST(0.95 AS DOUBLE) BETWEEN band_low AND band_high AS covers_nominal,
+        SELECT *, coalesce(CAST(0.95 AS DOUBLE) BETWEEN band_low AND band_high, false) AS covers_nominal,
             CASE WHEN n = 0 THEN 'no scorable points' WHEN n < 40 THEN 'N is small (' || n || '); the band is wide and this is not a precise calibration estimate' ELSE '' END AS note
         FROM (SELECT *, {p} AS empirical_coverage, CAST(0.95 AS DOUBLE) AS nominal_coverage,
-            greatest(CAST(0 AS DOUBLE), ({p} + {z} * {z} / (2 * n)) / (1 + {z} * {z} / n)
-                - {z} * sqrt({p} * (1 - {p}) / n + {z} * {z} / (4 * CAST(n AS DOUBLE) * n)) / (1 + {z} * {z} / n)) AS band_low,
-            least(CAST(1 AS DOUBLE), ({p} + {z} * {z} / (2 * n)) / (1 + {z} * {z} / n)
-                + {z} * sqrt({p} * (1 - {p}) / n + {z} * {z} / (4 * CAST(n AS DOUBLE) * n)) / (1 + {z} * {z} / n)) AS band_high
+            CASE WHEN n > 0 THEN greatest(CAST(0 AS DOUBLE), ({p} + {z} * {z} / (2 * n)) / (1 + {z} * {z} / n)
+                - {z} * sqrt({p} * (1 - {p}) / n + {z} * {z} / (4 * CAST(n AS DOUBLE) * n)) / (1 + {z} * {z} / n)) END AS band_low,
+            CASE WHEN n > 0 THEN least(CAST(1 AS DOUBLE), ({p} + {z} * {z} / (2 * n)) / (1 + {z} * {z} / n)
+                + {z} * sqrt({p} * (1 - {p}) / n + {z} * {z} / (4 * CAST(n AS DOUBLE) * n)) / (1 + {z} * {z} / n)) END AS band_high
         FROM ({counts}))"""
 
 
@@ -488,7 +488,7 @@ def paired(component: str, target: str) -> str:
 
 
 MOMENTS = (
-    "count(*) AS n_paired, corr(a, b) AS correlation, covar_samp(a, b) AS covariance, "
+    "count(*) AS n_paired, nullif(corr(a, b), 'nan'::DOUBLE) AS correlation, covar_samp(a, b) AS covariance, "
     "var_samp(a) AS var_component, var_samp(b) AS var_target"
 )
 block("component_stats", f"""
