@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.llm import language, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.sentence_pieces import encode_decode
 from tidemark.llm.token_counts import token_counts
@@ -35,3 +36,23 @@ def op9_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
         F.coalesce(F.element_at("ends", -1).cast("long") == F.col("n_bytes"), F.col("n_bytes") == 0).alias("spans_cover_text"),
     )
+
+
+def remainder(divisor: int) -> Column:
+    """crc32 of the id as text, modulo ``divisor``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = remainder(4) == 2
+    made = language.identify(table(spark, folder, "documents"), held_out)
+    return made.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents"), remainder(5) == 0
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
+    made = toxicity.score(docs, model)
+    return made.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
