@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import language, toxicity
+from tidemark.llm import decontamination, language, near_dedup, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.sentence_pieces import encode_decode
 from tidemark.llm.token_counts import token_counts
@@ -56,3 +56,16 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
     made = toxicity.score(docs, model)
     return made.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query
+def op5_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op8_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+CHECKS["op8_spaced_seeds"] = decontamination.SQL
