@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontamination, language, near_dedup, toxicity
+from tidemark.llm import decontamination, language, near_dedup, substring_dedup, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.sentence_pieces import encode_decode
 from tidemark.llm.token_counts import token_counts
@@ -69,3 +69,8 @@ def op8_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CHECKS["op8_spaced_seeds"] = decontamination.SQL
+
+
+@query
+def op7_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
