@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontamination, language, near_dedup, substring_dedup, toxicity
+from tidemark.llm import decontamination, language, near_dedup, substring_dedup, toxicity, warc_index
 from tidemark.llm.common import table
 from tidemark.llm.sentence_pieces import encode_decode
 from tidemark.llm.token_counts import token_counts
@@ -74,3 +74,22 @@ CHECKS["op8_spaced_seeds"] = decontamination.SQL
 @query
 def op7_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op6_capture_index(spark: SparkSession, folder: str) -> DataFrame:
+    made = warc_index.archive_and_read(table(spark, folder, "pages"), payloads=False)
+    return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+CHECKS["op6_capture_index"] = f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), kept AS (
+  SELECT *, CASE WHEN payload_bytes >= {warc_index.LEAST_SHARED} THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS original FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to
+FROM kept
+"""
