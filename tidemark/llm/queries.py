@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontamination, language, near_dedup, substring_dedup, toxicity, warc_index
+from tidemark.llm import decontamination, language, near_dedup, substring_dedup, topk, toxicity, warc_index
 from tidemark.llm.common import table
 from tidemark.llm.sentence_pieces import encode_decode
 from tidemark.llm.token_counts import token_counts
@@ -93,3 +93,11 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN original <> page_id THEN original END AS refers_to
 FROM kept
 """
+
+
+@query
+def op2_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_products(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+CHECKS["op2_norm_buckets"] = topk.SQL
