@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import functools
 from collections.abc import Callable, Iterator
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.session import ship_package, stage
 
-__all__ = ["arrow_map", "documents", "pair_schema", "prepare", "stage", "table"]
+__all__ = ["arrow_map", "carried", "documents", "loaded", "prepare", "stage", "table"]
 
 # Rows of one Arrow batch.  Texts run to 100 kB and more; 256 of the longest still
 # fit a worker's memory, which the default of 10,000 would not.
@@ -61,17 +60,7 @@ def loaded(make: Callable, *args):
     return make(*args)
 
 
-def pair_schema(left: str, right: str) -> str:
-    return f"{left} long, {right} long"
-
-
-@contextlib.contextmanager
-def shuffle_width(spark: SparkSession, least: int):
-    """At least ``least`` shuffle partitions while a table of many small rows is dealt out."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(max(least, int(before))))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def carried(schema: str, base: DataFrame, names: tuple) -> str:
+    """The schema with the named columns of ``base`` put after it."""
+    kinds = dict(base.dtypes)
+    return ", ".join([schema, *(f"`{n}` {kinds[n]}" for n in names)])

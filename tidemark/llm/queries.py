@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontamination, language, near_dedup, substring_dedup, topk, toxicity, warc_index
+from tidemark.llm import chat_roles, decontamination, language, near_dedup, substring_dedup, topk, toxicity, warc_index
 from tidemark.llm.common import table
 from tidemark.llm.sentence_pieces import encode_decode
 from tidemark.llm.token_counts import token_counts
@@ -101,3 +101,8 @@ def op2_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CHECKS["op2_norm_buckets"] = topk.SQL
+
+
+@query
+def op1_role_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_roles.repaired_turns(table(spark, folder, "conversations"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import arrow_map, documents, loaded
+from tidemark.llm.common import arrow_map, carried, documents, loaded
 
 BLANK = "▁"
 # Piece types of the model format.
@@ -204,10 +204,10 @@ class PieceModel:
         return raw.decode("utf-8", "replace")
 
 
-def encode_decode(docs: DataFrame, model: str) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, carry: tuple = ()) -> DataFrame:
     """Encode whole texts with the BPE model file and decode them again.
 
-    ``docs``: doc_id, text; other columns are ignored.  Returns one row per input row: doc_id, n_bytes,
+    ``docs``: doc_id, text; other columns are ignored unless ``carry`` names them.  Returns one row per input row: doc_id, n_bytes,
     ids, ends (the end of each piece's span in bytes of the original text; it starts where the
     one before ends), decoded.  Null and empty texts have no pieces and decode to the empty
     text.  Repeated rows are encoded each, null ids are kept, an empty table gives an empty result.
@@ -227,12 +227,12 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
             return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).astype(np.int32)))
 
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_bytes"), lists(ids), lists(ends), pa.array(texts, pa.string())],
-            ["doc_id", "n_bytes", "ids", "ends", "decoded"],
+            [batch.column("doc_id"), batch.column("n_bytes"), lists(ids), lists(ends), pa.array(texts, pa.string()), *map(batch.column, carry)],
+            ["doc_id", "n_bytes", "ids", "ends", "decoded", *carry],
         )
 
-    base = documents(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return arrow_map(base, work, "doc_id long, n_bytes long, ids array<int>, ends array<int>, decoded string")
+    base = documents(docs, *(c for c in carry if c != "text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return arrow_map(base, work, carried("doc_id long, n_bytes long, ids array<int>, ends array<int>, decoded string", base, carry))
 
 
 def with_spans(encoded: DataFrame) -> DataFrame:

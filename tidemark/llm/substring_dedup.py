@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import arrow_map, documents
+from tidemark.llm.common import arrow_map, carried, documents
 
 REACH = 16  # bytes that decide about a chunk's end
 LONGEST = 256
@@ -89,10 +89,10 @@ def repeated_spans(repeats: np.ndarray, words: np.ndarray, least: int) -> np.nda
     return repeats & (np.bincount(run, weights=words)[run] >= least)
 
 
-def remove_repeats(docs: DataFrame, least: int = 16, words: int = 5) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 16, words: int = 5, carry: tuple = ()) -> DataFrame:
     """Texts without what has stood before: doc_id, n_chunks, n_repeated, removed_bytes, text.
 
-    ``docs``: doc_id, text; other columns are ignored.  Chunks hold about ``words`` words.  Of equal chunks, the
+    ``docs``: doc_id, text; other columns are ignored unless ``carry`` names them.  Chunks hold about ``words`` words.  Of equal chunks, the
     first in the order of doc_id (null ids last) and place stays.  Runs of repeated chunks with
     fewer than ``least`` words stay as well, so stock phrases and single repeated lines are left alone; a
     repeated passage loses all but up to a chunk and ``REACH`` bytes at its ends.
@@ -101,7 +101,7 @@ def remove_repeats(docs: DataFrame, least: int = 16, words: int = 5) -> DataFram
     chunks, an empty text.  Rows equal in id and text are one document and keep the same text.
     An empty table gives an empty result.
     """
-    base = documents(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    base = documents(docs, *carry).withColumn("row", F.xxhash64("doc_id", "text"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -147,11 +147,11 @@ def remove_repeats(docs: DataFrame, least: int = 16, words: int = 5) -> DataFram
             lost.append(int(sizes[out].sum()))
             texts.append(raw[~np.repeat(out, sizes)].tobytes().decode() if out.any() else text)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.string())],
-            ["doc_id", "n_chunks", "n_repeated", "removed_bytes", "text"],
+            [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.string()), *map(batch.column, carry)],
+            ["doc_id", "n_chunks", "n_repeated", "removed_bytes", "text", *carry],
         )
 
     return arrow_map(
-        base.join(again, "row", "left").select("doc_id", "text", "places"), trim,
-        "doc_id long, n_chunks long, n_repeated long, removed_bytes long, text string",
+        base.join(again, "row", "left").select("doc_id", "text", "places", *carry), trim,
+        carried("doc_id long, n_chunks long, n_repeated long, removed_bytes long, text string", base, carry),
     )

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import arrow_map, documents
+from tidemark.llm.common import arrow_map, carried, documents
 from tidemark.llm.sampling import labelled_sample
 
 GRADES = 4
@@ -232,10 +232,10 @@ def fit(
     )
 
 
-def score(docs: DataFrame, model: ToxicityModel, evidence: int = 3) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, evidence: int = 3, carry: tuple = ()) -> DataFrame:
     """Toxicity of whole texts: doc_id, score, evidence; one row per input row.
 
-    ``docs``: doc_id, text; other columns are ignored.  The evidence lists the nearest examples as
+    ``docs``: doc_id, text; other columns are ignored unless ``carry`` names them.  The evidence lists the nearest examples as
     (doc_id, cosine, toxic).  Null, empty and word-free texts, and texts without a term of the
     vocabulary, have no neighbours and get the prior share of toxic rows (0 if nothing was learned).
     """
@@ -253,9 +253,10 @@ def score(docs: DataFrame, model: ToxicityModel, evidence: int = 3) -> DataFrame
             ])
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(near, kind)], ["doc_id", "score", "evidence"]
+            [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(near, kind), *map(batch.column, carry)],
+            ["doc_id", "score", "evidence", *carry],
         )
 
-    return arrow_map(
-        documents(docs), work, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: boolean>>"
-    )
+    base = documents(docs, *(c for c in carry if c != "text"))
+    kind = "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: boolean>>"
+    return arrow_map(base, work, carried(kind, base, carry))
