@@ -2,9 +2,9 @@
 
 from datetime import date, timedelta
 
-from tidemark.config import Engine, LEVEL_ONLY
+from tidemark.config import FIVE_DAY_WEEK, LEVEL_ONLY, Engine
 
-ENGINE = Engine(smoothing={"load": LEVEL_ONLY, "release": LEVEL_ONLY})
+ENGINE = Engine(smoothing={"load": LEVEL_ONLY, "release": LEVEL_ONLY}, **FIVE_DAY_WEEK)
 MASTER = (
     "series_id string, ds date, pos int, is_imputed boolean, intake bigint, release bigint, load bigint, "
     "is_imputed_load boolean"

@@ -22,7 +22,7 @@ def fitted(table):
 
 def test_smoothing_recovers_a_noise_free_season(spark):
     y = 100 + np.tile(WAVE, 30)
-    engine = Engine(smoothing={"load": SmoothingSpec(seasonal=True)})
+    engine = Engine(season=5, smoothing={"load": SmoothingSpec(seasonal=True)})
     got = fitted(M.smoothing_fits(panel(spark, y), requests(spark, [99, 119], [1, 7, 14]), engine.smoothing, engine))
     for (cutoff, lead), row in got.items():
         assert row.y_pred == pytest.approx(100 + WAVE[(cutoff + lead) % 5], abs=1e-6) and not row.fit_failed
@@ -40,7 +40,7 @@ def test_one_pass_equals_a_separate_fit_per_cutoff():
 
 def test_smoothing_drops_missing_rows_and_abstains_when_short(spark):
     y = [None if i % 9 == 0 else 50.0 for i in range(60)]
-    engine = Engine(smoothing={"load": SmoothingSpec(seasonal=True)})
+    engine = Engine(season=5, smoothing={"load": SmoothingSpec(seasonal=True)})
     got = fitted(M.smoothing_fits(panel(spark, y), requests(spark, [12, 59], [1]), engine.smoothing, engine))
     assert got[59, 1].y_pred == pytest.approx(50.0)
     short = got[12, 1]
@@ -49,7 +49,7 @@ def test_smoothing_drops_missing_rows_and_abstains_when_short(spark):
 
 def test_arima_follows_trend_and_season(spark):
     y = 3.0 * np.arange(150) + np.tile(WAVE, 30)
-    engine = Engine(arima={"load": ArimaSpec()})
+    engine = Engine(season=5, arima={"load": ArimaSpec()})
     got = fitted(M.arima_fits(panel(spark, y), requests(spark, [99, 129], [1, 7, 14]), engine.arima, engine))
     for (cutoff, lead), row in got.items():
         assert row.y_pred == pytest.approx(3.0 * (cutoff + lead) + WAVE[(cutoff + lead) % 5], abs=1e-6)
@@ -68,7 +68,7 @@ def test_arima_estimates_a_moving_average():
 def test_arima_bridges_gaps_and_abstains_when_short(spark):
     y = 100 + np.tile(WAVE, 30)
     holes = [None if i in (20, 21, 50, 77) else float(v) for i, v in enumerate(y)]
-    engine = Engine(arima={"load": ArimaSpec()})
+    engine = Engine(season=5, arima={"load": ArimaSpec()})
     got = fitted(M.arima_fits(panel(spark, holes), requests(spark, [10, 149], [3]), engine.arima, engine))
     assert got[149, 3].y_pred == pytest.approx(100 + WAVE[152 % 5], abs=1.0)
     assert got[10, 3].fit_failed and got[10, 3].y_pred is None
@@ -92,6 +92,6 @@ def test_later_rows_do_not_change_a_fit(spark):
 
 
 def test_requests_of_other_metrics_are_left_alone(spark):
-    engine = Engine(smoothing={"load": SmoothingSpec()})
+    engine = Engine(season=5, smoothing={"load": SmoothingSpec()})
     asked = requests(spark, [50], [1], metric="intake")
     assert M.smoothing_fits(panel(spark, range(60)), asked, engine.smoothing, engine).filter(F.lit(True)).count() == 0

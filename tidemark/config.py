@@ -68,10 +68,10 @@ LEVEL_ONLY = SmoothingSpec(alphas=(0.3,))
 @dataclass(frozen=True)
 class Engine:
     # --- calendar: Monday = 0 ... Sunday = 6 -------------------------------
-    reporting_weekdays: tuple = (6, 0, 1, 2, 3)
+    reporting_weekdays: tuple = tuple(range(7))
     slot: str = "day"  # "day" | "hour"
-    off_template_limit: int = 2
-    off_template_min_series: int = 3
+    # days outside the weekday template that count as reported, as ISO dates
+    off_template_days: tuple = ()
 
     # --- measures ----------------------------------------------------------
     measures: tuple = (
@@ -98,7 +98,7 @@ class Engine:
     usable_floor: int = 60
     usable_ceiling: int = 80
     cap_fraction: float = 0.7
-    season: int = 5
+    season: int = 7
     average_window: int = 7
 
     # --- candidate models ---------------------------------------------------
@@ -169,3 +169,7 @@ class Engine:
 
     def with_(self, **changes) -> "Engine":
         return replace(self, **changes)
+
+
+# An option: a week of five reporting days, Sunday to Thursday.
+FIVE_DAY_WEEK = {"reporting_weekdays": (6, 0, 1, 2, 3), "season": 5}

@@ -61,10 +61,11 @@ def mean_interval(values: Column, draws: str, resamples: int, level: float, seed
     return interval(values)
 
 
-# An end this close to zero is zero: sums of sevenths and thirds do not cancel exactly.
+# An end this small beside the other one is zero: sums of sevenths and thirds do not cancel exactly.
 TOLERANCE = 1e-9
 
 
 def distinguishable(low: Column, high: Column) -> Column:
     """The interval excludes zero."""
-    return F.coalesce((low > TOLERANCE) | (high < -TOLERANCE), F.lit(False))
+    least = F.greatest(F.abs(low), F.abs(high)) * TOLERANCE
+    return F.coalesce((low > least) | (high < -least), F.lit(False))

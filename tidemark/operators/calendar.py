@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import Engine
 
-FRIDAY = 4
-
 
 def by_series(order: str = "pos") -> Window:
     return Window.partitionBy("series_id").orderBy(order)
@@ -27,30 +25,12 @@ def slots_between(first: Column, last: Column, engine: Engine) -> Column:
     return F.explode(F.sequence(first, last, step))
 
 
-def off_template_days(obs: DataFrame, engine: Engine) -> DataFrame:
-    """The earliest Fridays on which enough series reported; at most a handful of rows."""
-    return (
-        obs.filter(F.weekday("ds") == FRIDAY)
-        .groupBy("ds")
-        .agg(F.count(F.lit(1)).alias("n_series"))
-        .filter(F.col("n_series") >= engine.off_template_min_series)
-        .orderBy("ds")
-        .limit(engine.off_template_limit)
-        .select("ds")
-    )
-
-
 def keep_reporting_slots(obs: DataFrame, engine: Engine) -> DataFrame:
-    """Observations on the weekday template or on a named off-template day."""
+    """Observations on the weekday template or on one of the engine's named days."""
     if len(engine.reporting_weekdays) == 7:
         return obs
-    # bounded by off_template_limit rows, so broadcasting is always safe
-    named = F.broadcast(off_template_days(obs, engine).withColumn("named", F.lit(True)))
-    return (
-        obs.join(named, "ds", "left")
-        .filter(on_template(F.col("ds"), engine) | F.col("named"))
-        .select(*obs.columns)
-    )
+    named = F.to_date("ds").isin([F.lit(d).cast("date") for d in engine.off_template_days]) if engine.off_template_days else F.lit(False)
+    return obs.filter(on_template(F.col("ds"), engine) | named)
 
 
 def template_slots(obs: DataFrame, engine: Engine) -> DataFrame:

@@ -64,12 +64,16 @@ def fill_stocks(aligned: DataFrame, engine: Engine) -> DataFrame:
             interpolated(m).alias(m) if m in stocks else F.col(m)
             for m in engine.measure_names
         ],
-        *[F.col("is_imputed").alias(f"is_imputed_{m}") for m in engine.stocks],
+        *[F.col(m).isNull().alias(f"is_imputed_{m}") for m in engine.stocks],
     )
 
 
 def long_panel(master: DataFrame, engine: Engine, metrics: tuple | None = None) -> DataFrame:
-    """``series_id, metric, kind, ds, pos, value, is_imputed``, one row per measure."""
+    """``series_id, metric, kind, ds, pos, value, is_imputed``, one row per measure.
+
+    A stock is imputed where it was filled, on missing slots and on reported ones without a value; a
+    flow where the slot is missing.
+    """
     kinds = {m.name: m.kind for m in engine.measures}
     names = metrics or engine.measure_names
     cells = F.array(
@@ -78,11 +82,12 @@ def long_panel(master: DataFrame, engine: Engine, metrics: tuple | None = None)
                 F.lit(m).alias("metric"),
                 F.lit(kinds[m]).alias("kind"),
                 F.col(m).cast("double").alias("value"),
+                F.col(f"is_imputed_{m}" if kinds[m] == "stock" else "is_imputed").alias("is_imputed"),
             )
             for m in names
         ]
     )
-    return master.select("series_id", "ds", "pos", "is_imputed", F.inline(cells)).select(
+    return master.select("series_id", "ds", "pos", F.inline(cells)).select(
         "series_id", "metric", "kind", "ds", "pos", "value", "is_imputed"
     )
 

@@ -1,6 +1,7 @@
-"""Tree ensembles over the pooled panel, one MLlib model per fold, rule and horizon.
+"""Tree ensembles over the pooled panel, one MLlib model per origin date, rule and horizon.
 
-Every series contributes pairs (predictors at t, value at t + its own lead) whose
+A model pools the series that ask for a forecast from the same origin date, so no row of its training data is later
+than the date it forecasts from, however long each series runs.  Every series contributes pairs (predictors at t, value at t + its own lead) whose
 label lies inside its training window; the prediction row is the one at its
 training cutoff.  Pairs are written once, partitioned by fit, so each fit reads
 only its own files.
@@ -21,13 +22,15 @@ from tidemark.config import Engine
 from tidemark.operators.features import feature_columns
 from tidemark.session import stage
 
-FIT = ["metric", "window_rule", "recency", "horizon"]
+FIT = ["metric", "window_rule", "origin_date", "horizon"]
 
 
-def latest_folds(rows: DataFrame, k: int) -> DataFrame:
-    """Requests of the latest ``k`` folds of every series, numbered from the newest."""
+def latest_folds(rows: DataFrame, k: int | None) -> DataFrame:
+    """Requests of the latest ``k`` folds of every series; all of them for ``None``."""
+    if k is None:
+        return rows
     newest = F.max("fold_id").over(Window.partitionBy("series_id"))
-    return rows.withColumn("recency", newest - F.col("fold_id")).filter(F.col("recency") < k)
+    return rows.withColumn("behind", newest - F.col("fold_id")).filter(F.col("behind") < k).drop("behind")
 
 
 def pairs(rows: DataFrame, features: DataFrame, panel: DataFrame, engine: Engine) -> DataFrame:
@@ -111,7 +114,14 @@ def fit_one(
         return out, None, note
     if family == "random_forest":
         train = train.filter(complete(columns))
-    model = estimator(family, used, engine).fit(train)
+    try:
+        model = estimator(family, used, engine).fit(train)
+    except Exception as problem:  # one cell's failure is a row of the result, not the end of the run
+        out = rows.select(
+            "series_id", *FIT, "fold_id", F.lit(None).cast("double").alias("y_pred"),
+            F.lit(True).alias("fit_failed"), F.lit(f"fit raised {type(problem).__name__}").alias("failure_reason"),
+        )
+        return out, None, note
     made = model.transform(rows).select(
         "series_id", *FIT, "fold_id", "y_pred", F.lit(False).alias("fit_failed"), F.lit("").alias("failure_reason")
     )
@@ -124,16 +134,14 @@ def learned_forecasts(
 ) -> tuple[DataFrame, dict]:
     """Forecasts of the latest ``k`` folds, and the fitted models by cell.
 
-    The number of fits is metrics x rules x k x horizons per family, whatever the
-    number of series; fits run side by side from a few driver threads.
+    The number of fits is metrics x rules x origin dates x horizons per family, so it is bounded by the
+    calendar and not by the number of series; fits run side by side from a few driver threads.
     """
     asked = latest_folds(rows.filter(F.col("metric").isin(*engine.targets)), k)
     data = stage(pairs(asked, features, panel, engine), "pairs", tuple(FIT))
     spark = rows.sparkSession
-    cells = [
-        {"metric": m, "window_rule": r, "recency": i, "horizon": h}
-        for m in engine.targets for r in engine.rules for i in range(k) for h in engine.horizons
-    ]
+    # bounded by the calendar: one row per metric, rule, origin date and horizon
+    cells = [r.asDict() for r in asked.select(*FIT).distinct().orderBy(*FIT).collect()]
     jobs = [(c, f) for f in families for c in cells]
 
     def one(job):
@@ -146,9 +154,7 @@ def learned_forecasts(
         [d.withColumn("model", F.lit(f)) for (d, _, _), (_, f) in zip(done, jobs)],
     )
     models = {(f, *c.values()): (m, note) for (_, m, note), (c, f) in zip(done, jobs)}
-    back = asked.drop("recency").join(
-        made.drop("recency"), ["series_id", "metric", "window_rule", "fold_id", "horizon"]
-    )
+    back = asked.join(made.drop("origin_date"), ["series_id", "metric", "window_rule", "fold_id", "horizon"])
     return back.select(
         "*", F.lit(None).cast("double").alias("y_pred_lo"), F.lit(None).cast("double").alias("y_pred_hi")
     ), models
@@ -164,24 +170,24 @@ def save_models(models: dict, folder: str) -> None:
 def importances(models: dict, spark) -> DataFrame:
     """Importance per (family, metric, rule, horizon, feature); tables of a few hundred rows."""
     rows = []
-    for (family, metric, rule, recency, horizon), (model, note) in models.items():
+    for (family, metric, rule, origin, horizon), (model, note) in models.items():
         if model is None:
             continue
         names = model.stages[-2].getInputCols()
         values = model.stages[-1].featureImportances.toArray()
         rows += [
-            (metric, family, rule, recency, horizon, n.replace("__filled", ""), float(v), note["n_pairs"])
+            (metric, family, rule, origin, horizon, n.replace("__filled", ""), float(v), note["n_pairs"])
             for n, v in zip(names, values)
         ]
     return spark.createDataFrame(
         rows,
-        "metric string, family string, window_rule string, recency int, horizon int, feature string, "
+        "metric string, family string, window_rule string, origin_date date, horizon int, feature string, "
         "importance double, n_training_pairs bigint",
     )
 
 
 def top_features(table: DataFrame, n: int = 8) -> DataFrame:
-    order = Window.partitionBy("metric", "family", "window_rule", "horizon").orderBy(
+    order = Window.partitionBy("metric", "family", "window_rule", "origin_date", "horizon").orderBy(
         F.col("importance").desc(), "feature"
     )
     return table.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)

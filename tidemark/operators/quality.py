@@ -42,11 +42,13 @@ def gate(master: DataFrame, engine: Engine, expected: DataFrame | None = None) -
         if m.kind == "flow":
             violations[f"{m.name}_missing_iff_gap"] = F.col(m.name).isNull() != gap
         else:
-            violations[f"{m.name}_never_missing"] = F.col(m.name).isNull()
+            # a leading gap has nothing to be filled from and stays missing
+            violations[f"{m.name}_missing_only_at_first"] = F.col(m.name).isNull() & (F.col(f"seen_{m.name}") > 0)
             violations[f"{m.name}_flag_present"] = F.col(f"is_imputed_{m.name}").isNull()
         violations[f"{m.name}_not_negative"] = F.coalesce(F.col(m.name) < 0, F.lit(False))
     marked = master.select(
-        "*", previous.alias("prev"), (F.row_number().over(w) - 1).alias("place")
+        "*", previous.alias("prev"), (F.row_number().over(w) - 1).alias("place"),
+        *[F.count(m).over(w).alias(f"seen_{m}") for m in engine.stocks],
     )
     counts = marked.groupBy("series_id").agg(
         *[F.count_if(bad).alias(name) for name, bad in violations.items()],
@@ -231,7 +233,7 @@ def raw_to_clean(obs: DataFrame, master: DataFrame, engine: Engine) -> DataFrame
         F.count(F.lit(1)).alias("n_raw"),
         F.count_if(F.col("kept").isNull()).alias("n_lost_dates"),
         *[
-            F.count_if(F.col("kept").isNotNull() & ~F.col(m).eqNullSafe(F.col(f"clean_{m}"))).alias(f"n_changed_{m}")
+            F.count_if(F.col("kept") & F.col(m).isNotNull() & ~F.col(m).eqNullSafe(F.col(f"clean_{m}"))).alias(f"n_changed_{m}")
             for m in engine.measure_names
         ],
     )

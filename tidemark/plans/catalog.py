@@ -18,7 +18,7 @@ from tidemark.operators import (
 )
 from tidemark.plans import oracle_base as O
 from tidemark.plans.oracle_base import sql
-from tidemark.plans.workspace import CHECKED, CHECKED_MODELS, HOURLY, Workspace, open_workspace
+from tidemark.plans.workspace import CHECKED, CHECKED_MODELS, FIVE_DAY, HOURLY, Workspace, open_workspace
 from tidemark.session import shared_folder
 from tidemark.sources import provenance, raw_text, tables
 
@@ -198,14 +198,14 @@ add("long_panel", lambda w: w.panel, "SELECT * FROM panel", "value")
 def _gate_sql(count_rows: str) -> str:
     bad = {
         "chronological": "ds < prev", "unique_dates": "ds = prev", "dense_positions": "pos <> place",
-        "off_template_is_real": "isodow(ds) - 1 NOT IN (6, 0, 1, 2, 3) AND is_imputed", "gap_flag_present": "is_imputed IS NULL",
+        "off_template_is_real": "isodow(ds) - 1 NOT IN (0, 1, 2, 3, 4, 5, 6) AND is_imputed", "gap_flag_present": "is_imputed IS NULL",
         "intake_missing_iff_gap": "(intake IS NULL) <> is_imputed", "intake_not_negative": "intake < 0",
         "release_missing_iff_gap": "(release IS NULL) <> is_imputed", "release_not_negative": "release < 0",
-        "load_never_missing": "load IS NULL", "load_flag_present": "is_imputed_load IS NULL", "load_not_negative": "load < 0",
+        "load_missing_only_at_first": "load IS NULL AND seen > 0", "load_flag_present": "is_imputed_load IS NULL", "load_not_negative": "load < 0",
     }
     return " UNION ALL ".join(
         f"""SELECT series_id, '{n}' AS "check", count(CASE WHEN {c} THEN 1 END) AS n_violations, count(CASE WHEN {c} THEN 1 END) = 0 AS passed
-            FROM (SELECT *, lag(ds) OVER (PARTITION BY series_id ORDER BY pos) AS prev,
+            FROM (SELECT *, lag(ds) OVER (PARTITION BY series_id ORDER BY pos) AS prev, count(load) OVER (PARTITION BY series_id ORDER BY pos) AS seen,
                   row_number() OVER (PARTITION BY series_id ORDER BY pos) - 1 AS place FROM {count_rows}) GROUP BY series_id"""
         for n, c in bad.items()
     )
@@ -222,17 +222,27 @@ add("expectation_gate_sizes", lambda w: quality.gate(
 add("audit_verdict", lambda w: quality.overall(quality.gate(w.master, w.engine)),
     f"""SELECT series_id, count(*) AS n_checks, count(CASE WHEN NOT passed THEN 1 END) AS n_failed, bool_and(passed) AS all_passed
     FROM ({GATE}) GROUP BY series_id""")
+add("panel_conservation", lambda w: w.master.groupBy("series_id").agg(
+        F.sum("intake").alias("arrivals"), F.sum("release").alias("departures")), """
+    SELECT o_orderpriority AS series_id, CAST(count(*) AS BIGINT) AS arrivals, CAST(count(first_ship) AS BIGINT) AS departures
+    FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS first_ship FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1""")
+add("panel_conservation_by_nation", lambda w: w.master.groupBy("series_id").agg(
+        F.sum("intake").alias("arrivals"), F.sum("release").alias("departures")), """
+    SELECT CAST(c_nationkey AS VARCHAR) AS series_id, CAST(count(*) AS BIGINT) AS arrivals, CAST(count(first_ship) AS BIGINT) AS departures
+    FROM orders JOIN customer ON c_custkey = o_custkey
+    LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS first_ship FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1""", key="nation")
+add("master_series_five_day", lambda w: w.master, "SELECT * FROM f_master", engine=FIVE_DAY)
 add("schedule_gaps", lambda w: quality.schedule_gaps(w.raw, w.engine), """
     WITH full_span AS (SELECT series_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS ds
         FROM (SELECT series_id, min(ds) AS a, max(ds) AS b FROM daily GROUP BY 1)),
-    expected AS (SELECT * FROM full_span WHERE isodow(ds) - 1 IN (6, 0, 1, 2, 3))
+    expected AS (SELECT * FROM full_span WHERE isodow(ds) - 1 IN (0, 1, 2, 3, 4, 5, 6))
     SELECT series_id, ds, 'gap' AS finding FROM (SELECT series_id, ds FROM expected EXCEPT SELECT series_id, ds FROM daily)
     UNION ALL SELECT series_id, ds, 'off_schedule' FROM (SELECT series_id, ds FROM daily EXCEPT SELECT series_id, ds FROM expected)""")
 add("schedule_summary", lambda w: quality.schedule_summary(w.raw, w.engine), """
     SELECT o.series_id, o.n AS n_observed, t.n - o.on_template AS gap_count, o.n - o.on_template AS off_schedule_count
-    FROM (SELECT series_id, count(*) AS n, count(CASE WHEN isodow(ds) - 1 IN (6, 0, 1, 2, 3) THEN 1 END) AS on_template FROM daily GROUP BY 1) o
+    FROM (SELECT series_id, count(*) AS n, count(CASE WHEN isodow(ds) - 1 IN (0, 1, 2, 3, 4, 5, 6) THEN 1 END) AS on_template FROM daily GROUP BY 1) o
     JOIN (SELECT series_id, count(*) AS n FROM (SELECT series_id, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds
-          FROM daily GROUP BY series_id) WHERE isodow(ds) - 1 IN (6, 0, 1, 2, 3) GROUP BY 1) t ON t.series_id = o.series_id""")
+          FROM daily GROUP BY series_id) WHERE isodow(ds) - 1 IN (0, 1, 2, 3, 4, 5, 6) GROUP BY 1) t ON t.series_id = o.series_id""")
 add("nulls_and_duplicates", lambda w: quality.nulls_and_duplicates(
         w.raw.unionByName(w.raw.filter(F.dayofmonth("ds") == 1)), ["series_id", "ds"]).select(
         *[F.col(c).cast("bigint").alias(c) if c != "series_id" else F.col(c) for c in (
@@ -262,7 +272,7 @@ add("flow_identity", lambda w: quality.flow_identity(w.obs, w.engine), """
 add("flow_reconciliation", lambda w: quality.reconciliation(w.master, w.engine), """
     SELECT series_id, count(r) AS n_testable, count(CASE WHEN r = 0 THEN 1 END) AS n_exact, avg(CASE WHEN r = 0 THEN 1.0::DOUBLE WHEN r IS NOT NULL THEN 0 END) * 100 AS pct_exact,
         quantile_cont(abs(r), 0.5) AS median_abs, avg(r) AS mean_signed
-    FROM (SELECT a.series_id, CASE WHEN NOT a.is_imputed AND NOT b.is_imputed THEN CAST(a.load - (b.load + a.intake - a.release) AS DOUBLE) END AS r
+    FROM (SELECT a.series_id, CASE WHEN NOT a.is_imputed_load AND NOT b.is_imputed_load THEN CAST(a.load - (b.load + a.intake - a.release) AS DOUBLE) END AS r
           FROM master a LEFT JOIN master b ON b.series_id = a.series_id AND b.pos = a.pos - 1) GROUP BY 1""", "pct_exact median_abs mean_signed")
 add("regime_range", lambda w: quality.regime(w.panel), """
     SELECT series_id, metric, max(value) AS max, min(value) AS min, max(value) / nullif(min(value), 0) AS ratio,
@@ -274,7 +284,7 @@ add("forward_calendar", lambda w: calendar.forward_calendar(w.master, w.engine),
     SELECT series_id, CAST(last_pos + rn AS INTEGER) AS pos, ds, CAST(rn AS INTEGER) AS steps_ahead FROM (
         SELECT series_id, last_pos, ds, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS rn FROM (
             SELECT series_id, max(pos) AS last_pos, CAST(unnest(generate_series(max(ds) + INTERVAL 1 DAY, max(ds) + INTERVAL 120 DAY, INTERVAL 1 DAY)) AS DATE) AS ds
-            FROM master GROUP BY series_id) WHERE isodow(ds) - 1 IN (6, 0, 1, 2, 3)) WHERE rn <= 14""")
+            FROM master GROUP BY series_id) WHERE isodow(ds) - 1 IN (0, 1, 2, 3, 4, 5, 6)) WHERE rn <= 14""")
 add("series_bounds", lambda w: w.bounds, "SELECT * FROM bounds")
 add("boundary_problems", lambda w: calendar.require_boundaries(w.bounds),
     "SELECT series_id, cutoff_pos IS NULL AS cap_after_series_end, holdout_start_pos IS NULL AS too_few_real_slots FROM bounds")
@@ -586,7 +596,7 @@ O.block("pair_rows", f"""
 O.block("pair_draws", O.draws("(SELECT DISTINCT n FROM pair_rows)"))
 BOOT = """
     SELECT c.series_id, c.metric, c.window_rule, c.horizon, c.n, c.mean_difference, ci_low, ci_high,
-        ci_low > 1e-9 OR ci_high < -1e-9 AS distinguishable, NOT (ci_low > 1e-9 OR ci_high < -1e-9) AS practically_equivalent
+        ci_low > 1e-9 * greatest(abs(ci_low), abs(ci_high)) OR ci_high < -1e-9 * greatest(abs(ci_low), abs(ci_high)) AS distinguishable, NOT (ci_low > 1e-9 * greatest(abs(ci_low), abs(ci_high)) OR ci_high < -1e-9 * greatest(abs(ci_low), abs(ci_high))) AS practically_equivalent
     FROM (SELECT series_id, metric, window_rule, horizon, count(*) AS n, avg(d) AS mean_difference FROM pair_rows GROUP BY 1, 2, 3, 4) c
     JOIN (SELECT series_id, metric, window_rule, horizon, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high
           FROM (SELECT p.series_id, p.metric, p.window_rule, p.horizon, w.rep, avg(p.d) AS m FROM pair_rows p JOIN pair_draws w ON w.n = p.n AND w.idx = p.i
@@ -745,8 +755,8 @@ add("available_models", lambda w: kpi.available_models(w.forward),
     "SELECT series_id, metric, horizon, model, CAST(row_number() OVER (PARTITION BY series_id, metric, horizon ORDER BY is_champion DESC, model) AS INTEGER) AS place FROM forward")
 CHOSEN = ("naive", "moving_average", "ensemble")
 O.block("scen", "SELECT * FROM forward WHERE model IN ('naive', 'moving_average', 'ensemble') AND point_forecast IS NOT NULL")
-LABEL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kpi.MODEL_LABELS.items())
-HLABEL = "CAST({h} AS VARCHAR) || ' period' || CASE WHEN {h} = 1 THEN '' ELSE 's' END || ' (' || CASE {h} WHEN 1 THEN '~1 day' WHEN 7 THEN '~9 days' WHEN 14 THEN '~20 days' ELSE '~' END || ')'"
+LABEL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kpi.model_labels(E_).items())
+HLABEL = "CAST({h} AS VARCHAR) || ' period' || CASE WHEN {h} = 1 THEN '' ELSE 's' END || ' (' || CASE {h} WHEN 1 THEN '~1 day' WHEN 7 THEN '~7 days' WHEN 14 THEN '~14 days' ELSE '~' END || ')'"
 add("scenario_table", lambda w: kpi.scenarios(w.forward, CHOSEN, w.engine), f"""
     SELECT series_id, metric, horizon, model, CASE model {LABEL} ELSE model END AS model_label, {HLABEL.format(h="horizon")} AS horizon_label,
         point_forecast, lower, upper, interval_width, is_champion FROM scen""", "point_forecast lower upper interval_width")
@@ -763,7 +773,7 @@ add("latest_against_forecast", lambda w: kpi.latest_against_forecast(w.targets,
     SELECT p.series_id, p.metric, arg_max(p.value, p.pos) AS latest_value, max(p.pos) AS latest_pos, f.model AS champion, f.point_forecast
     FROM panel p JOIN forward f ON f.series_id = p.series_id AND f.metric = p.metric AND f.is_champion AND f.horizon = 1
     WHERE p.value IS NOT NULL GROUP BY p.series_id, p.metric, f.model, f.point_forecast""", "latest_value point_forecast")
-add("display_labels", lambda w: kpi.labels(w.forward),
+add("display_labels", lambda w: kpi.labels(w.forward, w.engine),
     f"SELECT DISTINCT model, horizon, CASE model {LABEL} ELSE model END AS model_label, {HLABEL.format(h='horizon')} AS horizon_label FROM forward")
 
 # ================================================================= exploration
@@ -821,17 +831,17 @@ add("partial_autocorrelation", lambda w: explore.partial_autocorrelation(explore
 DECOMPOSED = """
     SELECT *, value - trend - seasonal AS resid FROM (
         SELECT t.*, p.pm - c.centre AS seasonal FROM trended t
-        JOIN phases p ON p.series_id = t.series_id AND p.metric = t.metric AND p.phase = t.i % 5
+        JOIN phases p ON p.series_id = t.series_id AND p.metric = t.metric AND p.phase = t.i % 7
         JOIN (SELECT series_id, metric, avg(pm) AS centre FROM phases GROUP BY 1, 2) c ON c.series_id = t.series_id AND c.metric = t.metric)"""
 O.block("trended", """
-    SELECT a.series_id, a.metric, a.pos, a.i, a.value, CASE WHEN count(b.value) = 5 THEN avg(b.value) END AS trend
-    FROM present a LEFT JOIN present b ON b.series_id = a.series_id AND b.metric = a.metric AND b.i BETWEEN a.i - 2 AND a.i + 2
+    SELECT a.series_id, a.metric, a.pos, a.i, a.value, CASE WHEN count(b.value) = 7 THEN avg(b.value) END AS trend
+    FROM present a LEFT JOIN present b ON b.series_id = a.series_id AND b.metric = a.metric AND b.i BETWEEN a.i - 3 AND a.i + 3
     WHERE a.metric <> 'intake' GROUP BY 1, 2, 3, 4, 5""")
-O.block("phases", "SELECT series_id, metric, i % 5 AS phase, avg(value - trend) AS pm FROM trended GROUP BY 1, 2, 3")
+O.block("phases", "SELECT series_id, metric, i % 7 AS phase, avg(value - trend) AS pm FROM trended GROUP BY 1, 2, 3")
 O.block("decomposed", DECOMPOSED)
-add("seasonal_decomposition", lambda w: explore.decomposition(w.targets).select("series_id", "metric", "pos", "trend", "seasonal", "resid"),
+add("seasonal_decomposition", lambda w: explore.decomposition(w.targets, w.engine.season).select("series_id", "metric", "pos", "trend", "seasonal", "resid"),
     "SELECT series_id, metric, pos, trend, seasonal, resid FROM decomposed", "trend seasonal resid")
-add("decomposition_strengths", lambda w: explore.strengths(explore.decomposition(w.targets)), """
+add("decomposition_strengths", lambda w: explore.strengths(explore.decomposition(w.targets, w.engine.season)), """
     SELECT series_id, metric, CASE WHEN var_pop(seasonal + resid) > 0 THEN greatest(0, 1 - var_pop(resid) / var_pop(seasonal + resid)) ELSE 0 END AS seasonal_strength,
         CASE WHEN var_pop(trend + resid) > 0 THEN greatest(0, 1 - var_pop(resid) / var_pop(trend + resid)) ELSE 0 END AS trend_strength
     FROM decomposed WHERE resid IS NOT NULL GROUP BY 1, 2""", "seasonal_strength trend_strength")

@@ -24,7 +24,12 @@ def block(name: str, text: str) -> None:
 
 
 # ------------------------------------------------------------------ observations
-def observation_blocks(prefix: str, key: str, source: str) -> None:
+ALL_DAYS = (0, 1, 2, 3, 4, 5, 6)
+
+
+def observation_blocks(
+    prefix: str, key: str, source: str, weekdays: tuple = ALL_DAYS, days: tuple = (), season: int = 7,
+) -> None:
     """daily -> obs -> master for one series key, names carrying ``prefix``."""
     p = prefix
     block(f"{p}arrivals", f"""
@@ -35,18 +40,16 @@ def observation_blocks(prefix: str, key: str, source: str) -> None:
         SELECT {key} AS series_id, s.first_ship AS ds, count(*) AS release
         FROM {source} JOIN ship s ON s.l_orderkey = o_orderkey GROUP BY 1, 2""")
     block(f"{p}daily", f"""
-        SELECT a.series_id, a.ds, a.intake, coalesce(d.release, 0) AS release,
+        SELECT coalesce(a.series_id, d.series_id) AS series_id, coalesce(a.ds, d.ds) AS ds, coalesce(a.intake, 0) AS intake, coalesce(d.release, 0) AS release,
                CAST(round_even(CAST(cents AS DOUBLE) / (CAST(100 AS DOUBLE) * intake), 0) AS BIGINT) AS load
-        FROM {p}arrivals a LEFT JOIN {p}departures d ON d.series_id = a.series_id AND d.ds = a.ds""")
-    block(f"{p}fridays", f"""
-        SELECT ds FROM {p}daily WHERE isodow(ds) = 5 GROUP BY ds HAVING count(*) >= 3 ORDER BY ds LIMIT 2""")
-    block(f"{p}obs", f"""
-        SELECT * FROM {p}daily WHERE isodow(ds) - 1 IN (6, 0, 1, 2, 3) OR ds IN (SELECT ds FROM {p}fridays)""")
+        FROM {p}arrivals a FULL JOIN {p}departures d ON d.series_id = a.series_id AND d.ds = a.ds""")
+    named = f"OR ds IN ({', '.join(f"DATE '{d}'" for d in days)})" if days else ""
+    block(f"{p}obs", f"SELECT * FROM {p}daily WHERE isodow(ds) - 1 IN {weekdays} {named}")
     block(f"{p}span", f"SELECT series_id, min(ds) AS a, max(ds) AS b FROM {p}obs GROUP BY 1")
     block(f"{p}template", f"""
         SELECT series_id, ds FROM (
             SELECT series_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS ds FROM {p}span)
-        WHERE isodow(ds) - 1 IN (6, 0, 1, 2, 3)""")
+        WHERE isodow(ds) - 1 IN {weekdays}""")
     block(f"{p}spine", f"SELECT series_id, ds FROM {p}template UNION SELECT series_id, ds FROM {p}obs")
     block(f"{p}aligned", f"""
         SELECT s.series_id, s.ds,
@@ -66,9 +69,9 @@ def observation_blocks(prefix: str, key: str, source: str) -> None:
         SELECT series_id, ds, pos, is_imputed, intake, release,
             coalesce(load, CASE WHEN v1 IS NULL THEN v0 ELSE CAST(round_even(
                 (v1 - v0) / CAST(nullif(p1 - p0, 0) AS DOUBLE) * (pos - p0) + v0, 0) AS BIGINT) END) AS load,
-            is_imputed AS is_imputed_load
+            load IS NULL AS is_imputed_load
         FROM {p}known""")
-    backtest_blocks(p, 5)
+    backtest_blocks(p, season)
 
 
 def backtest_blocks(p: str, m: int) -> None:
@@ -76,7 +79,7 @@ def backtest_blocks(p: str, m: int) -> None:
     block(f"{p}panel", f"""
         SELECT series_id, 'intake' AS metric, 'flow' AS kind, ds, pos, CAST(intake AS DOUBLE) AS value, is_imputed FROM {p}master
         UNION ALL SELECT series_id, 'release', 'flow', ds, pos, CAST(release AS DOUBLE), is_imputed FROM {p}master
-        UNION ALL SELECT series_id, 'load', 'stock', ds, pos, CAST(load AS DOUBLE), is_imputed FROM {p}master""")
+        UNION ALL SELECT series_id, 'load', 'stock', ds, pos, CAST(load AS DOUBLE), is_imputed_load FROM {p}master""")
     block(f"{p}ranked", f"""
         SELECT *, CAST(min(ds) OVER s AS DATE) + CAST(floor(date_diff('day', CAST(min(ds) OVER s AS DATE), CAST(max(ds) OVER s AS DATE)) * CAST(0.7 AS DOUBLE)) AS INTEGER) AS cap_date,
             count(CASE WHEN NOT is_imputed THEN 1 END) OVER (PARTITION BY series_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS rk
@@ -170,6 +173,7 @@ def forecast_blocks(p: str, ask: str, made: str, m: int) -> None:
 
 block("ship", "SELECT l_orderkey, min(CAST(l_shipdate AS DATE)) AS first_ship FROM lineitem GROUP BY 1")
 observation_blocks("", "o_orderpriority", "orders")
+observation_blocks("f_", "o_orderpriority", "orders", (6, 0, 1, 2, 3), ("1995-03-17", "1996-06-14"), 5)
 observation_blocks("n_", "CAST(c_nationkey AS VARCHAR)", "orders JOIN customer ON c_custkey = o_custkey")
 
 # ------------------------------------------------------------------ hourly panel
@@ -315,9 +319,9 @@ def selection_blocks(p: str, condition: str) -> None:
         FROM {p}errors e JOIN {p}draws w ON w.n = e.n AND w.idx = e.i GROUP BY 1, 2, 3, 4, 5""")
     block(f"{p}evid", f"""
         SELECT j.*, x.mean_difference, c.diff_low, c.diff_high,
-            c.diff_low > 1e-9 OR c.diff_high < -1e-9 AS distinguishable,
+            c.diff_low > 1e-9 * greatest(abs(c.diff_low), abs(c.diff_high)) OR c.diff_high < -1e-9 * greatest(abs(c.diff_low), abs(c.diff_high)) AS distinguishable,
             x.bias, abs(x.bias) / nullif(MAE, 0) AS bias_ratio, c.bias_low, c.bias_high,
-            c.bias_low > 1e-9 OR c.bias_high < -1e-9 AS bias_significant,
+            c.bias_low > 1e-9 * greatest(abs(c.bias_low), abs(c.bias_high)) OR c.bias_high < -1e-9 * greatest(abs(c.bias_low), abs(c.bias_high)) AS bias_significant,
             x.q50 AS error_median, x.q75 - x.q25 AS error_iqr, x.q90 AS error_p90, x.q90 / nullif(x.q50, 0) AS tail_ratio
         FROM {p}judged j
         JOIN (SELECT series_id, metric, horizon, model, avg(d) AS mean_difference, avg(signed) AS bias,
@@ -427,7 +431,7 @@ def plain_ask(table: str) -> str:
 block("hold_ask", plain_ask("hfolds"))
 block("dev_ask", plain_ask("folds"))
 for _ask in ("fwd", "hold", "dev"):
-    forecast_blocks("", f"{_ask}_ask", f"{_ask}_made", 5)
+    forecast_blocks("", f"{_ask}_ask", f"{_ask}_made", 7)
     block(f"{_ask}_points", f"""
         SELECT series_id, metric, horizon, model, fold_id, origin_pos, origin_date, test_pos, test_date, train_start_pos, train_cutoff_pos, y_pred
         FROM {_ask}_made

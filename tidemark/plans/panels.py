@@ -81,12 +81,13 @@ def order_observations(
         F.sum((1 - F.col("arrived")).cast("bigint")).alias("release"),
         F.sum("cents").alias("cents"),
     )
-    return daily.filter(F.col("intake") > 0).select(
+    # a day with departures alone is a reported one without a level
+    return daily.select(
         "series_id",
         "ds",
         "intake",
         "release",
-        F.bround(F.col("cents") / (F.lit(100.0) * F.col("intake"))).cast("bigint").alias("load"),
+        F.bround(F.try_divide(F.col("cents"), F.lit(100.0) * F.col("intake"))).cast("bigint").alias("load"),
     )
 
 

@@ -12,9 +12,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.config import BASELINES, LEVEL_ONLY, Engine
+from tidemark.config import BASELINES, FIVE_DAY_WEEK, LEVEL_ONLY, Engine
 from tidemark.operators import (
-    calendar, cleaning, features, folds, harness, imbalance, intervals, kpi, learned, scoring, selection, warning,
+    calendar, cleaning, features, folds, harness, imbalance, intervals, kpi, learned, quality, scoring, selection, warning,
 )
 from tidemark.plans.panels import event_observations, order_observations
 from tidemark.session import ship_package, source_stamp, stage
@@ -31,6 +31,8 @@ CHECKED = Engine(
 )
 CHECKED_MODELS = (*BASELINES, "exponential_smoothing")
 
+# Five reporting days and two named Fridays.
+FIVE_DAY = CHECKED.with_(**FIVE_DAY_WEEK, off_template_days=("1995-03-17", "1996-06-14"))
 HOURLY = CHECKED.with_(slot="hour", reporting_weekdays=tuple(range(7)), season=24)
 
 
@@ -56,7 +58,10 @@ class Workspace:
 
     @cached_property
     def master(self) -> DataFrame:
-        return stage(cleaning.master_series(self.raw, self.engine), "master")
+        made = stage(cleaning.master_series(self.raw, self.engine), "master")
+        # nothing is built on a master series that breaks an invariant
+        quality.enforce(quality.gate(made, self.engine))
+        return made
 
     @cached_property
     def bounds(self) -> DataFrame:

@@ -28,7 +28,14 @@ def read_raw(
         found = rows.count()
         if found != expected_rows:
             raise ValueError(f"expected {expected_rows} raw rows, found {found}")
-    return rows.withColumn("file_order", F.monotonically_increasing_id())
+    # files are packed into partitions by size, so the row's place comes from its file and block, then the id
+    return rows.withColumn(
+        "file_order",
+        F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+    )
 
 
 def drop_blank(rows: DataFrame) -> DataFrame:
