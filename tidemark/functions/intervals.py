@@ -30,12 +30,7 @@ def wilson(successes: Column, n: Column, level: float = 0.95) -> tuple[Column, C
 
 
 def small_sample_note(n: Column, limit: int) -> Column:
-    return F.when(
-        n < limit,
-        F.format_string(
-            "N is small (%d); the band is wide and this is not a precise calibration estimate", n
-        ),
-    ).otherwise(F.lit(""))
+    return F.when(n < limit, F.format_string("small_sample:%d", n)).otherwise(F.lit(""))
 
 
 def difference_variance(

@@ -9,9 +9,9 @@ from tidemark.functions.intervals import difference_variance
 from tidemark.functions.scores import correlation
 from tidemark.operators.scoring import residuals
 
-# How a sign reads.
-INFLOW_EXCEEDS = "intake exceeds exits: net inflow pressure"
-OUTFLOW_EXCEEDS = "exits exceed intake: net relief"
+# Status codes of the sign.
+INFLOW_EXCEEDS = "inflow_exceeds"
+OUTFLOW_EXCEEDS = "outflow_exceeds"
 
 
 def component_residuals(predictions: DataFrame, engine: Engine, recent_only: bool = True) -> DataFrame:

@@ -48,13 +48,9 @@ def with_interval(
     note = (
         F.when(
             n < engine.min_residuals,
-            F.format_string(
-                "only %d residuals available; below the %d-residual floor, the %d%% quantiles "
-                "are just the sample min and max",
-                n, F.lit(engine.min_residuals), F.lit(round(engine.nominal * 100)),
-            ),
+            F.format_string("few_residuals:%d", n),
         )
-        .when(point.isNull(), F.lit("point forecast unavailable"))
+        .when(point.isNull(), F.lit("forecast_missing"))
         .otherwise(F.lit(""))
     )
     return joined.select(
@@ -83,7 +79,7 @@ def banded(counts: DataFrame, engine: Engine, level: float = 0.95) -> DataFrame:
         low.alias("band_low"),
         high.alias("band_high"),
         F.coalesce(F.lit(engine.nominal).between(low, high), F.lit(False)).alias("covers_nominal"),
-        F.when(F.col("n") == 0, F.lit("no scorable points"))
+        F.when(F.col("n") == 0, F.lit("no_scorable_points"))
         .otherwise(small_sample_note(F.col("n"), engine.small_n))
         .alias("note"),
     )

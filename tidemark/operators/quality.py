@@ -151,13 +151,13 @@ def data_dictionary(panel: DataFrame, engine: Engine) -> DataFrame:
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
     ).withColumn(
         "missing_handling",
-        F.when(F.col("kind") == "stock", F.lit("interpolated, flagged per column")).otherwise(
-            F.lit("left genuinely missing, never zero-filled")
+        F.when(F.col("kind") == "stock", F.lit("interpolated_and_flagged")).otherwise(
+            F.lit("left_missing")
         ),
     ).withColumn(
         "role",
         F.when(F.col("metric").isin(*engine.targets), F.lit("target")).otherwise(
-            F.lit("predictor / signal component")
+            F.lit("component")
         ),
     )
 

@@ -10,16 +10,13 @@ from tidemark.operators.scoring import scorable
 
 KEY = ["series_id", "metric", "horizon"]
 
-# The reasons recorded with a decision.
-NO_FINITE = "no candidate produced a finite MAE"
-BASELINE_WINS = (
-    "no candidate beat both naive and seasonal-naive; the best baseline is the champion "
-    "and is preserved as the result"
-)
-SIMPLEST_TIED = "champion is the simplest candidate not distinguishable from the numerical leader"
-LEADER_WINS = "champion is the numerical leader and no simpler candidate ties it"
-AGREE = "both scopes select the same champion"
-DISAGREE = "rankings DISAGREE; the recent-regime ranking governs"
+# Status codes recorded with a decision.
+NO_FINITE = "no_finite_error"
+BASELINE_WINS = "baseline_unbeaten"
+SIMPLEST_TIED = "simplest_tied"
+LEADER_WINS = "leader_untied"
+AGREE = "scopes_agree"
+DISAGREE = "scopes_differ"
 
 
 def complexity_rank(model: Column) -> Column:

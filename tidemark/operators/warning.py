@@ -89,10 +89,10 @@ def classify(crossed: DataFrame, keys: list[str], engine: Engine) -> DataFrame:
         F.array_sort(F.collect_list(fires)).alias("_all"),
     )
     note = (
-        F.when(F.col("threshold").isNull(), F.lit("threshold unavailable"))
-        .when(F.col("_short").isNull(), F.lit("no tier fired"))
-        .when(F.col("_short") == longest, F.lit("advance, lower-confidence notice from the longest horizon"))
-        .otherwise(F.format_string("%s fired from a %d-period-ahead forecast", names[F.col("_short")], F.col("_short")))
+        F.when(F.col("threshold").isNull(), F.lit("threshold_missing"))
+        .when(F.col("_short").isNull(), F.lit("no_tier"))
+        .when(F.col("_short") == longest, F.lit("longest_horizon_only"))
+        .otherwise(F.format_string("%s:%d", names[F.col("_short")], F.col("_short")))
     )
     return table.select(
         *keys, "threshold",

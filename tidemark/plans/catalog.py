@@ -139,7 +139,7 @@ def _registry_round_trip(w: Workspace) -> DataFrame:
 
 
 add("registry_json_round_trip", _registry_round_trip, """
-    SELECT f.series_id, f.metric, f.horizon, g.champion, g.champion_mae, coalesce(g.reason, 'no candidate produced a finite MAE') AS reason, f.champion AS champion_full_dev,
+    SELECT f.series_id, f.metric, f.horizon, g.champion, g.champion_mae, coalesce(g.reason, 'no_finite_error') AS reason, f.champion AS champion_full_dev,
         f.champion IS NOT DISTINCT FROM g.champion AS rankings_agree, coalesce(g.n_scored, 0) AS n_scored, g.gate_cleared_by, g.tied_with_best, g.bias_screened_out,
         CAST(n.n_ranked AS INTEGER) AS n_ranked, CAST(e.n_judged AS INTEGER) AS n_bias, CAST(e.n_judged AS INTEGER) AS n_stability,
         CAST(e.n_bootstrap AS INTEGER) AS n_bootstrap, t.bias_ratio AS champion_bias_ratio, t.tail_ratio AS champion_tail_ratio
@@ -257,8 +257,8 @@ add("column_profile", lambda w: quality.column_profile(w.panel), """
     FROM panel WHERE NOT is_imputed GROUP BY 1, 2""", "min max mean std range_ratio")
 add("data_dictionary", lambda w: quality.data_dictionary(w.panel, w.engine), """
     SELECT metric, kind, count(value) AS n_present, count(CASE WHEN NOT is_imputed THEN value END) AS n_reported, min(value) AS min, max(value) AS max,
-        avg(value) AS mean, CASE kind WHEN 'stock' THEN 'interpolated, flagged per column' ELSE 'left genuinely missing, never zero-filled' END AS missing_handling,
-        CASE WHEN metric IN ('load', 'release') THEN 'target' ELSE 'predictor / signal component' END AS role
+        avg(value) AS mean, CASE kind WHEN 'stock' THEN 'interpolated_and_flagged' ELSE 'left_missing' END AS missing_handling,
+        CASE WHEN metric IN ('load', 'release') THEN 'target' ELSE 'component' END AS role
     FROM panel GROUP BY metric, kind""", "min max mean")
 add("weekday_distribution", lambda w: quality.weekday_distribution(w.raw), """
     SELECT series_id, CAST(isodow(ds) - 1 AS INTEGER) AS weekday, strftime(ds, '%a') AS label, count(*) AS n FROM daily GROUP BY 1, 2, 3""")
@@ -626,7 +626,7 @@ add("two_scope_selection", lambda w: selection.two_scope_selection(w.combined, w
         F.array_join(F.transform("full_dev_ranking", lambda x: x["model"]), ",").alias("full_dev_order")), """
     SELECT f.series_id, f.metric, f.horizon, g.champion, g.champion_mae, f.champion AS champion_full_dev, f.champion_mae AS champion_full_dev_mae,
         f.numerical_leader AS full_dev_numerical_leader, f.n_scored AS full_dev_n, f.champion IS NOT DISTINCT FROM g.champion AS rankings_agree,
-        CASE WHEN f.champion IS NOT DISTINCT FROM g.champion THEN 'both scopes select the same champion' ELSE 'rankings DISAGREE; the recent-regime ranking governs' END AS governing_scope_note,
+        CASE WHEN f.champion IS NOT DISTINCT FROM g.champion THEN 'scopes_agree' ELSE 'scopes_differ' END AS governing_scope_note,
         coalesce(g.n_scored, 0) AS n_scored, 'post_cutoff_common_support' AS selection_scope, 'capped' AS window_rule, o.full_dev_order
     FROM f_champions f LEFT JOIN champions g ON f.series_id = g.series_id AND f.metric = g.metric AND f.horizon = g.horizon
     JOIN (SELECT series_id, metric, horizon, string_agg(model, ',' ORDER BY MAE, model) AS full_dev_order FROM f_maes GROUP BY 1, 2, 3) o
@@ -706,8 +706,8 @@ add("tier_classification", lambda w: warning.classify(
             warning.thresholds(w.targets, w.engine).withColumnRenamed("pos", "origin_pos"), ["series_id", "metric", "origin_pos"]),
         ["series_id", "metric"], w.engine).select("series_id", "metric", "threshold", "fired", "highest_tier", "earliest_tier", "fired_horizons", "confidence_note"), f"""
     SELECT series_id, metric, threshold, short IS NOT NULL AS fired, {O.TIER.format(h="short")} AS highest_tier, {O.TIER.format(h="long")} AS earliest_tier, fired_horizons,
-        CASE WHEN threshold IS NULL THEN 'threshold unavailable' WHEN short IS NULL THEN 'no tier fired' WHEN short = 14 THEN 'advance, lower-confidence notice from the longest horizon'
-             ELSE {O.TIER.format(h="short")} || ' fired from a ' || short || '-period-ahead forecast' END AS confidence_note
+        CASE WHEN threshold IS NULL THEN 'threshold_missing' WHEN short IS NULL THEN 'no_tier' WHEN short = 14 THEN 'longest_horizon_only'
+             ELSE {O.TIER.format(h="short")} || ':' || short END AS confidence_note
     FROM (SELECT f.series_id, f.metric, any_value(t.threshold) AS threshold, min(CASE WHEN point_forecast > t.threshold THEN horizon END) AS short,
             max(CASE WHEN point_forecast > t.threshold THEN horizon END) AS long,
             coalesce(string_agg(CASE WHEN point_forecast > t.threshold THEN CAST(horizon AS VARCHAR) END, ',' ORDER BY horizon), '') AS fired_horizons

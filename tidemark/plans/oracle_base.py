@@ -338,9 +338,9 @@ def selection_blocks(p: str, condition: str) -> None:
         FROM (SELECT *, CASE WHEN any_passed THEN viable AND (model = leader_model OR NOT distinguishable)
                              ELSE model = best_baseline END AS tied FROM {p}evid)""")
     block(f"{p}champions", f"""
-        SELECT *, CASE WHEN NOT any_passed THEN 'no candidate beat both naive and seasonal-naive; the best baseline is the champion and is preserved as the result'
-            WHEN champion = numerical_leader THEN 'champion is the numerical leader and no simpler candidate ties it'
-            ELSE 'champion is the simplest candidate not distinguishable from the numerical leader' END AS reason
+        SELECT *, CASE WHEN NOT any_passed THEN 'baseline_unbeaten'
+            WHEN champion = numerical_leader THEN 'leader_untied'
+            ELSE 'simplest_tied' END AS reason
         FROM (SELECT {cell}, any_value(any_passed) AS any_passed,
                 coalesce(arg_min(model, rank) FILTER (WHERE tied AND NOT screened), arg_min(model, rank) FILTER (WHERE tied)) AS champion,
                 coalesce(arg_min(MAE, rank) FILTER (WHERE tied AND NOT screened), arg_min(MAE, rank) FILTER (WHERE tied)) AS champion_mae,
@@ -396,7 +396,7 @@ def band(counts: str) -> str:
     p = "(CAST(n_covered AS DOUBLE) / nullif(n, 0))"
     return f"""
         SELECT *, coalesce(CAST(0.95 AS DOUBLE) BETWEEN band_low AND band_high, false) AS covers_nominal,
-            CASE WHEN n = 0 THEN 'no scorable points' WHEN n < 40 THEN 'N is small (' || n || '); the band is wide and this is not a precise calibration estimate' ELSE '' END AS note
+            CASE WHEN n = 0 THEN 'no_scorable_points' WHEN n < 40 THEN 'small_sample:' || n ELSE '' END AS note
         FROM (SELECT *, {p} AS empirical_coverage, CAST(0.95 AS DOUBLE) AS nominal_coverage,
             CASE WHEN n > 0 THEN greatest(CAST(0 AS DOUBLE), ({p} + {z} * {z} / (2 * n)) / (1 + {z} * {z} / n)
                 - {z} * sqrt({p} * (1 - {p}) / n + {z} * {z} / (4 * CAST(n AS DOUBLE) * n)) / (1 + {z} * {z} / n)) END AS band_low,
@@ -451,8 +451,8 @@ def interval(rows: str, floor: bool) -> str:
         SELECT *, upper - lower AS interval_width FROM (
             SELECT *, raw_low AS lower_unclipped, {clip} AS clipped_at_floor,
                 CASE WHEN {clip} THEN CAST(0 AS DOUBLE) ELSE raw_low END AS lower, raw_high AS upper,
-                CASE WHEN nres < 10 THEN 'only ' || nres || ' residuals available; below the 10-residual floor, the 95% quantiles are just the sample min and max'
-                     WHEN point_forecast IS NULL THEN 'point forecast unavailable' ELSE '' END AS interval_note
+                CASE WHEN nres < 10 THEN 'few_residuals:' || nres
+                     WHEN point_forecast IS NULL THEN 'forecast_missing' ELSE '' END AS interval_note
             FROM (SELECT r.*, coalesce(q.n_residuals, 0) AS nres,
                     coalesce(q.n_residuals, 0) >= 10 AND r.point_forecast IS NOT NULL AS enough,
                     CASE WHEN coalesce(q.n_residuals, 0) >= 10 THEN r.point_forecast + q.q_low END AS raw_low,
@@ -504,7 +504,7 @@ block("component_stats", f"""
           FROM ({paired("component", "(SELECT * FROM pool WHERE metric = 'release')")}) GROUP BY 1, 2, 3, 4)""")
 block("imbalance", """
     SELECT *, sqrt(variance) AS std, net_pressure - sqrt(variance) AS lower_1sd, net_pressure + sqrt(variance) AS upper_1sd,
-        CASE WHEN net_pressure > 0 THEN 'intake exceeds exits: net inflow pressure' ELSE 'exits exceed intake: net relief' END AS interpretation
+        CASE WHEN net_pressure > 0 THEN 'inflow_exceeds' ELSE 'outflow_exceeds' END AS interpretation
     FROM (SELECT i.series_id, i.horizon, i.origin_date, i.model AS component_model, i.y_pred AS component_forecast,
             o.model AS target_model, o.y_pred AS target_forecast, i.y_pred - o.y_pred AS net_pressure,
             CASE WHEN abs(s.correlation) < 0.2 THEN 'independence' ELSE 'full_covariance' END AS uncertainty_form,
