@@ -23,7 +23,7 @@ def test_interval_is_the_linear_quantiles(spark):
 
 def test_thin_pool_is_withheld_and_floor_clips(spark):
     thin = with_interval(spark, 5.0, range(9))
-    assert not thin.interval_sufficient and thin.lower is None and "only 9 residuals" in thin.interval_note
+    assert not thin.interval_sufficient and thin.lower is None and thin.interval_note == "few_residuals:9"
     assert with_interval(spark, 5.0, range(10)).interval_sufficient
     clipped = with_interval(spark, 5.0, range(-40, 41), floor=0.0)
     assert clipped.lower == 0 and clipped.lower_unclipped < 0 and clipped.clipped_at_floor
