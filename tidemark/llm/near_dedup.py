@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import arrow_map, documents, stage
 
 WORDS = 5
-TREES = 32
+TREES = 40
 DEPTH = 8  # minhash values in a tree's signature, one byte each
 SHALLOW = 4  # shortest common prefix of candidates
-FEW = 24  # a region of so many is compared wholly
+FEW = 16  # a region is compared wholly if each of its nodes meets at most so many others that are not joined to it, on average
 FIRST_TREES = 6
-SKETCH = 64
-SKETCH_FLOOR = 32  # of SKETCH equal values; 0.75 similarity gives 48 on average, less than 32 once in a million
+# Of all TREES x DEPTH values, so many are equal in any pair worth confirming: a similarity of 0.75 gives 240
+# equal ones on average, and fewer than 197 about once in fifty million pairs.
+EQUAL_FLOOR = 197
+MARKS = 1 << 23
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -69,7 +71,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sizes, digests, keys, sketches = [], [], [], []
+    sizes, digests, keys = [], [], []
     for text in batch.column("text").to_pylist():
         found = shingles(text)
         sizes.append(len(found))
@@ -77,16 +79,14 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
             s = signature(found)
             digests.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
             keys.append(s.view(">i8").astype(np.int64))
-            sketches.append(s[:: len(s) // SKETCH].tobytes())
         else:
             digests.append(None)
             keys.append(np.empty(0, np.int64))
-            sketches.append(b"")
     offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
     return pa.RecordBatch.from_arrays(
         [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
-         pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys))), pa.array(sketches, pa.binary())],
-        ["doc_id", "n_shingles", "digest", "keys", "sketch"],
+         pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))],
+        ["doc_id", "n_shingles", "digest", "keys"],
     )
 
 
@@ -100,6 +100,18 @@ def _common_bytes(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _mostly_joined(rows: np.ndarray, run: np.ndarray, group: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Of the runs that ``rows`` make up, those with few pairs in different groups: their rows by group, small groups first."""
+    if not len(rows):
+        return
+    for own in np.split(rows, np.flatnonzero(np.diff(run[rows])) + 1):
+        order = own[np.argsort(group[own], kind="stable")]
+        parts = np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
+        n = len(own)
+        if n * n - sum(len(p) ** 2 for p in parts) <= FEW * n:
+            yield sorted(parts, key=len)
+
+
 def _neighbours(joined_already: bool):
     """Candidate pairs from one stretch of the sorted forest (tree, key, node, group)."""
 
@@ -137,6 +149,11 @@ def _neighbours(joined_already: bool):
                         break
                     offer(i, i + off)
                 active &= size > FEW
+                for rows in _mostly_joined(np.flatnonzero(active), run, group):
+                    active[np.concatenate(rows)] = False
+                    for k, own in enumerate(rows[:-1]):
+                        rest = np.concatenate(rows[k + 1 :])
+                        offer(np.repeat(own, len(rest)), np.tile(rest, len(own)))
             if depth == (DEPTH if joined_already else SHALLOW):
                 heads = np.flatnonzero(common < depth)
                 rows = everyone[active & (size > 1)]
@@ -163,29 +180,42 @@ def _candidates(nodes: DataFrame, trees: int, joined_already: bool) -> DataFrame
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose sketches do not rule it out."""
+    """Pairs whose sizes allow the similarity and whose signatures do not rule it out."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         one, two = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b")
+            batch.column(c).flatten().to_numpy().view(np.uint8).reshape(-1, TREES * DEPTH) for c in ("keys_a", "keys_b")
         )
-        keep = pa.array((one == two).sum(1) >= SKETCH_FLOOR)
+        keep = pa.array((one == two).sum(1) >= EQUAL_FLOOR)
         return pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     def side(name: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.col("n_shingles").alias(f"n_{name}"))
+        return nodes.select(F.col("node").alias(name), F.col("keys").alias(f"keys_{name}"), F.col("n_shingles").alias(f"n_{name}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(
         (100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b"))
     )
-    return arrow_map(both.select("a", "b", "sketch_a", "sketch_b"), work, "a long, b long")
+    return arrow_map(both.select("a", "b", "keys_a", "keys_b"), work, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs that are similar on their full sets.  ``texts``: node, text."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+    involved = stage(pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct(), "involved")
+    # which texts are needed, as a bitmap of fixed size: only their sets are made and shuffled.  Ids that share
+    # a mark with a needed one are dropped by the join that follows.
+    mark = F.pmod(F.xxhash64("node"), F.lit(MARKS)) + 1
+    bits = np.zeros(MARKS // 8 + 4096, np.uint8)
+    marked = involved.select(mark.alias("m")).groupBy(F.bitmap_bucket_number("m").alias("bucket"))
+    for r in marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("m")).alias("bits")).collect():
+        at = (r["bucket"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        m = batch.column("mark").to_numpy() - 1
+        batch = batch.filter(pa.array((sent.value[m >> 3] >> (m & 7).astype(np.uint8)) & 1 == 1))
+        if not batch.num_rows:
+            return None
         sets = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
         return pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["node", "shingles"])
@@ -199,8 +229,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         keep = pa.array(keep, pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    sets = arrow_map(texts.join(involved, "node", "left_semi"), read, "node long, shingles array<long>")
-    sets = stage(sets, "shingles")
+    sets = arrow_map(texts.filter("node is not null").withColumn("mark", mark), read, "node long, shingles array<long>")
+    sets = stage(sets.join(involved, "node", "left_semi"), "shingles")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b"))
     return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "shingles_a", "shingles_b"), compare, "a long, b long")
@@ -242,12 +272,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     what is like any of them.
     """
     base = documents(docs)
-    signed = stage(arrow_map(base, _sign, "doc_id long, n_shingles long, digest string, keys array<long>, sketch binary"), "signed")
+    signed = stage(arrow_map(base, _sign, "doc_id long, n_shingles long, digest string, keys array<long>"), "signed")
     known = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # equal sets: partial aggregation leaves one row per class and map task
     nodes = stage(
         known.groupBy("digest").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
+            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")
         ),
         "classes",
     )
