@@ -304,3 +304,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
         .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     )
+
+
+# The same in SQL, comparing every pair of texts that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS g
+  FROM w
+), x AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM s
+  UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen
+)
+SELECT s.doc_id, len(g) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) ON node = s.doc_id
+"""

@@ -106,3 +106,6 @@ CHECKS["op2_norm_buckets"] = topk.SQL
 @query
 def op1_role_repair(spark: SparkSession, folder: str) -> DataFrame:
     return chat_roles.repaired_turns(table(spark, folder, "conversations"))
+
+
+CHECKS["op5_minhash_forest"] = near_dedup.SQL
