@@ -42,10 +42,11 @@ def _windows(df: DataFrame, masks: dict[int, str], around: int, *keep: str) -> D
     """
     shortest = min(map(len, masks.values()))
     n = F.size("h")
+    # no filter on the size: it would be pushed below and the tokens be made twice; exploding null gives no row
+    cuts = F.when(F.col("n") >= shortest, F.sequence(F.lit(0), F.floor((F.col("n") - shortest) / SLICE).cast("int")))
     cut = (
-        df.filter(n >= shortest)
-        .select(*keep, n.alias("n"), F.concat(F.array_repeat(F.lit(None).cast("long"), around), "h").alias("h"))
-        .select(*keep, "n", "h", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - shortest) / SLICE).cast("int"))).alias("cut"))
+        df.select(*keep, n.alias("n"), F.concat(F.array_repeat(F.lit(None).cast("long"), around), "h").alias("h"))
+        .select(*keep, "n", "h", F.explode(cuts).alias("cut"))
         .select(*keep, "n", (F.col("cut") * SLICE - around).alias("shift"),
                 F.slice("h", F.col("cut") * SLICE + 1, SLICE + 2 * around + max(map(len, masks.values()))).alias("part"))
     )
