@@ -13,7 +13,6 @@ no row carries a whole document; from there on the lookup runs in one generated
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,12 +26,13 @@ SEEDS_AT_ONCE = 1_000_000
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    """Lower-case runs of letters and digits, and empty strings at the ends of the text."""
+    return F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
 def _hashes(text: Column) -> Column:
-    return F.transform(tokens(text), lambda w: F.xxhash64(w))
+    """Hashes of the tokens, without the empty ones that splitting leaves at the ends."""
+    return F.array_remove(F.transform(tokens(text), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def _windows(df: DataFrame, masks: dict[int, str], around: int, *keep: str) -> DataFrame:
@@ -52,14 +52,14 @@ def _windows(df: DataFrame, masks: dict[int, str], around: int, *keep: str) -> D
     )
     last = F.least(F.lit(SLICE - 1), F.col("n") - shortest - F.col("shift") - around)
     at = cut.select(*keep, "n", "shift", "part", F.explode(F.sequence(F.lit(around), around + last)).alias("at"))
-    seeds = [
-        F.when(
-            F.col("at") + F.col("shift") + len(mask) <= F.col("n"),
-            F.xxhash64(F.lit(number), *[F.get("part", F.col("at") + i) for i, c in enumerate(mask) if c == "1"]),
-        )
-        for number, mask in masks.items()
-    ]
-    return at.select(*keep, "n", "shift", "part", "at", F.explode(F.array(*seeds)).alias("seed")).filter("seed is not null")
+
+    def seed(number: int, mask: str) -> Column:
+        h = F.xxhash64(F.lit(number), *[F.get("part", F.col("at") + i) for i, c in enumerate(mask) if c == "1"])
+        # every place has room for the shortest mask
+        return h if len(mask) == shortest else F.when(F.col("at") + F.col("shift") + len(mask) <= F.col("n"), h)
+
+    seeds = at.select(*keep, "n", "shift", "part", "at", F.explode(F.array(*[seed(*m) for m in masks.items()])).alias("seed"))
+    return seeds.filter("seed is not null") if len(set(map(len, masks.values()))) > 1 else seeds
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, allowed: int = 2) -> DataFrame:
@@ -115,22 +115,30 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, allowed: i
 
 
 def _agreeing(hits: DataFrame, window: int, allowed: int, around: int, reach: int) -> DataFrame:
-    """Hits with an agreeing window; ``bits`` marks its equal tokens, counted from ``around`` before the hit."""
-    bits = reduce(add, [
-        F.when(F.get("part", F.col("at") + k - around) == F.get("near", F.lit(k)), F.lit(1 << k)).otherwise(F.lit(0))
-        for k in range(reach)
-    ])
+    """One row per hit and agreeing window; ``bits`` marks its equal tokens, counted from ``around`` before the hit.
+
+    Hits are few beside lookups.  Array functions and the generator keep this check out of the generated
+    code of the lookup, and its filter out of the join's condition: both would make that code too long to be compiled.
+    """
+    equal = F.aggregate(
+        F.sequence(F.lit(0), F.lit(reach - 1)), F.lit(0),
+        lambda found, k: found + F.when(
+            F.get("part", F.col("at") + k - around) == F.get("near", k), F.call_function("shiftleft", F.lit(1), k)
+        ).otherwise(F.lit(0)),
+    )
     width = F.least(F.col("item_tokens"), F.lit(window))
     need = width - F.floor(width * allowed / window).cast("int")
-    seen = hits.select("doc_id", "item_id", "item_tokens", "item_at", bits.alias("equal"), width.alias("width"), need.alias("need"))
-    agreed = F.lit(0)
-    for k in range(around + 1):
-        begin = F.col("item_at") + (k - around)
-        mask = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1), F.col("width")) - 1, F.lit(k))
-        inside = F.col("equal").bitwiseAND(mask)
-        fits = (begin >= 0) & (begin + F.col("width") <= F.col("item_tokens")) & (F.bit_count(inside) >= F.col("need"))
-        agreed = agreed.bitwiseOR(F.when(fits, inside).otherwise(F.lit(0)))
-    return seen.select("doc_id", "item_id", "item_tokens", "item_at", agreed.alias("bits")).filter("bits <> 0")
+    seen = hits.select("doc_id", "item_id", "item_tokens", "item_at", equal.alias("equal"), width.alias("width"), need.alias("need"))
+
+    def inside(k: Column) -> Column:
+        begin = F.col("item_at") + k - around
+        mask = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1), F.col("width")) - 1, k)
+        found = F.col("equal").bitwiseAND(mask)
+        fits = (begin >= 0) & (begin + F.col("width") <= F.col("item_tokens")) & (F.bit_count(found) >= F.col("need"))
+        return F.when(fits, found).otherwise(F.lit(0))
+
+    windows = F.filter(F.transform(F.sequence(F.lit(0), F.lit(around)), inside), lambda x: x != 0)
+    return seen.select("doc_id", "item_id", "item_tokens", "item_at", F.explode(windows).alias("bits"))
 
 
 # The same in SQL, over word lists instead of hashes.
