@@ -193,6 +193,29 @@ def test_top_products_equal_brute_force(spark, spread):
         assert sorted(got[q]) == [(n + 1, i, s[i]) for n, i in enumerate(order)]
 
 
+def test_top_products_over_many_small_files(spark):
+    """Files are packed by their bytes, so a bucket that runs over a border is not in the order of length."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4000, 16)) * np.exp(rng.normal(size=(4000, 1)) * 3.0) / 4
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = topk.top_products(df, F.col("id") % 20 == 0).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {}
+    for r in out:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    z = np.floor(64 * v).astype(np.int64)
+    lost = 0
+    for q in range(0, 4000, 20):
+        s = z @ z[q]
+        order = [i for i in np.lexsort((np.arange(4000), -s)) if i != q][:20]
+        lost += len({(n + 1, i, s[i]) for n, i in enumerate(order)} - set(got.get(q, [])))
+    assert lost == 0 and len(out) == 200 * 20
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(4)
     dense = np.where(rng.random((500, 30)) < 0.2, rng.random((500, 30)), 0)

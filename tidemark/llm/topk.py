@@ -61,8 +61,10 @@ class Queries:
         return q @ vectors.T
 
     def visit(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """One bucket, its vectors by falling length."""
+        """One bucket.  A scan may pack small files out of order, so the falling length is made here."""
         length = np.sqrt((vectors.astype(float) ** 2).sum(1))
+        order = np.argsort(-length, kind="stable")
+        ids, vectors, length = ids[order], vectors[order], length[order]
         with np.errstate(divide="ignore", invalid="ignore"):
             cosine = np.where(self.least <= 0, -1.0, self.least / (self.length * length[0]))
         cosine = np.nan_to_num(cosine, nan=-1.0, posinf=2.0)
