@@ -137,6 +137,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_near_pairs_inside_a_crowd_of_one_template(spark):
+    """Pages of one template, 0.73 similar and not joined, with pairs of 0.758 among them; a shorter page joins some of a second template."""
+    prepare(spark)
+    rng = random.Random(12)
+    size = 2000
+    # one passage for all, own words after it: 400 shared shingles of 474 to 475
+    made = [[f"t{i}" for i in range(404)] + [f"u{n}_{i}" for i in range(74)] for n in range(size)]
+    for n in range(0, size, 10):  # of its neighbour's own words the first nine as well
+        made[n + 1] = made[n][:413] + made[n + 1][413:]
+    for n in range(20):  # shares nothing but the second template, where the shorter text is like all the others
+        made.append([f"s{i}" for i in range(304)] + [f"x{n}_{i}" for i in range(60)])
+    for n in range(40):
+        made.append([f"s{i}" for i in range(304)] + [f"y{n}_{i}" for i in range(2 if n == 0 else 60)])
+    rows = [(n, " ".join(words)) for n, words in enumerate(made)]
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    want = {n: n - 1 if n < size and n % 10 == 1 else min(n, size) for n in range(len(made))}
+    lost = sum(got[n] != want[n] for n in want)
+    assert lost == 0
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200 + i, 300) for i in range(5)]
     out = near_dedup.components(spark.createDataFrame(edges, "a long, b long"))

@@ -11,6 +11,11 @@ Two passes keep large groups of near copies cheap.  The first takes a few trees
 next neighbours, and joins what its confirmed links connect.  The second takes all trees
 and skips pairs that are joined already, so groups of thousands are not compared pair by pair.
 All links are confirmed on the full shingle sets.
+
+A lengthened prefix separates true neighbours, so texts that stood in a region that had to be lengthened are compared
+once more without signatures.  Two of them that share a shingle few of them hold are found by it.  Two that share none of
+those have in common just what their sets of frequent shingles have in common, so there only distinct sets of frequent
+shingles are compared, and the shortest text of each stands for the others.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.common import arrow_map, documents, stage
 
@@ -34,6 +39,8 @@ FIRST_TREES = 6
 # equal ones on average, and fewer than 197 about once in fifty million pairs.
 EQUAL_FLOOR = 197
 MARKS = 1 << 23
+OFTEN = 32  # in crowded regions, shingles in more texts than that are compared as sets
+SALTS = 32
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -113,7 +120,9 @@ def _mostly_joined(rows: np.ndarray, run: np.ndarray, group: np.ndarray) -> Iter
 
 
 def _neighbours(joined_already: bool):
-    """Candidate pairs from one stretch of the sorted forest (tree, key, node, group)."""
+    """Candidate pairs from one stretch of the sorted forest (tree, key, node, group).
+
+    With ``joined_already`` also a row without ``b`` for every node whose region had to be lengthened."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -135,7 +144,7 @@ def _neighbours(joined_already: bool):
         everyone = np.arange(n)
         close = everyone[common >= SHALLOW]
         offer(close - 1, close)
-        active = np.ones(n, bool)
+        active, crowded = np.ones(n, bool), np.empty(0, np.int64)
         for depth in range(SHALLOW, DEPTH + 1):
             run = np.cumsum(common < depth)
             size = np.bincount(run)[run]
@@ -154,6 +163,8 @@ def _neighbours(joined_already: bool):
                     for k, own in enumerate(rows[:-1]):
                         rest = np.concatenate(rows[k + 1 :])
                         offer(np.repeat(own, len(rest)), np.tile(rest, len(own)))
+                if depth == SHALLOW:
+                    crowded = np.unique(node[active])
             if depth == (DEPTH if joined_already else SHALLOW):
                 heads = np.flatnonzero(common < depth)
                 rows = everyone[active & (size > 1)]
@@ -163,6 +174,9 @@ def _neighbours(joined_already: bool):
         pairs = np.unique(pairs, axis=1) if pairs.shape[1] else pairs
         for i in range(0, pairs.shape[1], 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0, i : i + 100_000]), pa.array(pairs[1, i : i + 100_000])], ["a", "b"])
+        for i in range(0, len(crowded), 100_000):
+            part = crowded[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.int64())], ["a", "b"])
 
     return work
 
@@ -201,6 +215,11 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs that are similar on their full sets.  ``texts``: node, text."""
     involved = stage(pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct(), "involved")
+    return _similar(pairs, _sets(involved, texts))
+
+
+def _sets(involved: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, shingles of the texts whose node is in ``involved``."""
     # which texts are needed, as a bitmap of fixed size: only their sets are made and shuffled.  Ids that share
     # a mark with a needed one are dropped by the join that follows.
     mark = F.pmod(F.xxhash64("node"), F.lit(MARKS)) + 1
@@ -220,6 +239,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
         return pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["node", "shingles"])
 
+    sets = arrow_map(texts.filter("node is not null").withColumn("mark", mark), read, "node long, shingles array<long>")
+    return stage(sets.join(involved.select("node"), "node", "left_semi"), "shingles")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full sets have the similarity.  ``sets``: node, shingles."""
+
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for one, two in zip(batch.column("shingles_a"), batch.column("shingles_b")):
@@ -229,13 +255,97 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         keep = pa.array(keep, pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    sets = arrow_map(texts.filter("node is not null").withColumn("mark", mark), read, "node long, shingles array<long>")
-    sets = stage(sets.join(involved, "node", "left_semi"), "shingles")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b"))
     return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "shingles_a", "shingles_b"), compare, "a long, b long")
 
 
+def _salted(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join in which a value of ``on`` may have any number of rows in ``df``; ``other`` is copied ``SALTS`` times."""
+    copies = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")  # never gathered on the driver
+    return df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(copies, [on, "salt"], how).drop("salt")
+
+
+def _crowd_links(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all similar texts of different groups.  ``crowd``: node, group; ``texts``: node, text.
+
+    With 7 x common >= 3 x (size + size) for a similarity of 0.75, sizes being the only thing that differs among texts of one
+    set of frequent shingles, whatever is linked with one of them by that set is linked with the shortest of them.
+    """
+
+    sets = stage(
+        _sets(crowd, texts).filter(F.size("shingles") > 0).withColumn("kind", F.xxhash64("shingles")).dropDuplicates(["node", "kind"])
+        .withColumn("n", F.size("shingles").cast("long")).join(crowd, "node"),
+        "crowd-sets",
+    )
+    rows = sets.select("node", "group", "kind", "n", F.explode("shingles").alias("h"))
+    often = rows.groupBy("h").count().filter(F.col("count") > OFTEN).select("h", F.lit(True).alias("often"))
+    rows = stage(_salted(rows, often, "h", "left"), "crowd-rows")
+
+    # by a shingle that few hold: at most OFTEN texts each
+    few = rows.filter("often is null").groupBy("h").agg(F.collect_list(F.struct("node", "group", "n")).alias("x")).filter(F.size("x") > 1)
+    rare = (
+        few.select("x", F.explode("x").alias("p")).select("p", F.explode("x").alias("q"))
+        .filter((F.col("p.node") < F.col("q.node")) & (F.col("p.group") != F.col("q.group")))
+        .filter(100 * F.least("p.n", "q.n") >= 75 * F.greatest("p.n", "q.n"))
+        .select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    )
+    by_rare = _similar(rare, sets.select("node", "shingles"))
+
+    # by frequent shingles alone
+    members = stage(
+        rows.filter("often").groupBy("node", "group", "kind", "n").agg(F.array_sort(F.collect_list("h")).alias("held"))
+        .withColumn("held_id", F.xxhash64("held")),
+        "crowd-members",
+    )
+    classes = stage(
+        members.groupBy("held_id", "held").agg(
+            F.min(F.struct("n", "node")).alias("least"), F.min("group").alias("from_group"), F.max("group").alias("to_group")
+        ).select("held_id", "held", F.col("least.n").alias("least_n"), F.col("least.node").alias("node"), "from_group", "to_group"),
+        "crowd-classes",
+    )
+    slim = members.select("node", "n", "held_id", F.size("held").alias("common"))
+    heads = classes.select("held_id", F.col("node").alias("head"), "least_n")
+    inside = _salted(slim, heads, "held_id").filter((7 * F.col("common") >= 3 * (F.col("n") + F.col("least_n"))) & (F.col("node") != F.col("head")))
+
+    # distinct sets meet in a prefix ordered by how few sets hold a shingle
+    elements = classes.select("held_id", "node", "least_n", F.size("held").alias("k"), F.explode("held").alias("h")).filter("4 * k >= 3 * least_n")
+    ranked = _salted(elements, elements.groupBy("h").agg(F.count("*").alias("sets")), "h").withColumn(
+        "place", F.row_number().over(Window.partitionBy("held_id").orderBy("sets", "h"))
+    ).filter(F.col("place") <= F.col("k") - F.ceil(F.col("least_n") * 3 / 4) + 1)
+    ranked = stage(ranked.join(classes.select("held_id", "from_group", "to_group"), "held_id").select("h", "held_id", "node", "least_n", "from_group", "to_group"), "crowd-prefixes")
+    other = ranked.select("h", *[F.col(c).alias(f"{c}_b") for c in ("held_id", "least_n", "from_group", "to_group")])
+    met = _salted(ranked, other, "h").filter(
+        (F.col("held_id") < F.col("held_id_b")) & (100 * F.least("least_n", "least_n_b") >= 75 * F.greatest("least_n", "least_n_b"))
+        & ~((F.col("from_group") == F.col("to_group")) & (F.col("from_group_b") == F.col("to_group_b")) & (F.col("from_group") == F.col("from_group_b")))
+    ).select("held_id", "held_id_b").distinct()
+
+    def common(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = [
+            len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
+            for x, y in zip(batch.column("held"), batch.column("held_b"))
+        ]
+        names = ["held_id", "head", "least_n", "held_id_b", "head_b", "least_n_b"]
+        keep = pa.array(7 * np.array(both) >= 3 * (batch.column("least_n").to_numpy() + batch.column("least_n_b").to_numpy()))
+        out = [batch.column(c).filter(keep) for c in names] + [pa.array(both, pa.int64()).filter(keep)]
+        return pa.RecordBatch.from_arrays(out, [*names, "common"])
+
+    one = classes.select("held_id", "held", F.col("node").alias("head"), "least_n")
+    two = one.select(*[F.col(c).alias(f"{c}_b") for c in one.columns])
+    close = stage(
+        arrow_map(
+            met.join(one, "held_id").join(two, "held_id_b"), common,
+            "held_id long, head long, least_n long, held_id_b long, head_b long, least_n_b long, common long",
+        ),
+        "crowd-close",
+    )
+    there = close.select(F.col("held_id_b").alias("held_id"), "head", "least_n", F.col("common").alias("shared"))
+    back = close.select("held_id", F.col("head_b").alias("head"), F.col("least_n_b").alias("least_n"), F.col("common").alias("shared"))
+    across = _salted(slim, there.unionByName(back), "held_id").filter((7 * F.col("shared") >= 3 * (F.col("n") + F.col("least_n"))) & (F.col("node") != F.col("head")))
+    stars = [x.select(F.col("node").alias("a"), F.col("head").alias("b")) for x in (inside, across)]
+    return by_rare.unionByName(stars[0]).unionByName(stars[1])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges`` (a, b); a component is named by its smallest node.
 
@@ -291,8 +401,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = links(_candidates(nodes, FIRST_TREES, False))
     groups = components(first)
     grouped = nodes.drop("group").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    second = links(_candidates(stage(grouped, "grouped"), TREES, True))
-    found = components(first.unionByName(second))
+    offered = stage(_candidates(stage(grouped, "grouped"), TREES, True), "offered")
+    links_found = first.unionByName(links(offered.filter("b is not null")))
+    found = components(links_found)
+    crowd = offered.filter("b is null").select(F.col("a").alias("node"))
+    if not crowd.isEmpty():
+        crowd = stage(crowd.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("group")), "crowd")
+        rest = stage(_crowd_links(crowd, base.select(F.col("doc_id").alias("node"), "text")), "crowd-links")
+        found = components(links_found.unionByName(rest))
     named = nodes.select("digest", "node").join(found, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component_id")
     )
