@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat_roles, decontamination, language, near_dedup, substring_dedup, topk, toxicity, warc_index
+from tidemark.llm import chat_roles, decontamination, imatch, language, near_dedup, substring_dedup, topk, toxicity, warc_index
 from tidemark.llm.common import table
 from tidemark.llm.sentence_pieces import encode_decode
 from tidemark.llm.token_counts import token_counts
@@ -109,3 +109,11 @@ def op1_role_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CHECKS["op5_minhash_forest"] = near_dedup.SQL
+
+
+@query
+def op11_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.edited_likeness(table(spark, folder, "documents"))
+
+
+CHECKS["op11_imatch"] = imatch.SQL
