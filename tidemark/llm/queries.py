@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat_roles, decontamination, imatch, language, near_dedup, substring_dedup, topk, toxicity, warc_index
+from tidemark.llm import chat_roles, decontamination, imatch, language, merkle, near_dedup, periodic_runs, substring_dedup, topk, toxicity, warc_index
 from tidemark.llm.common import table
 from tidemark.llm.sentence_pieces import encode_decode
 from tidemark.llm.token_counts import token_counts
@@ -117,3 +117,28 @@ def op11_imatch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CHECKS["op11_imatch"] = imatch.SQL
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, folder, "documents"))
+
+
+CHECKS["op12_merkle_manifest"] = merkle.SQL
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    made = periodic_runs.detect(table(spark, folder, "documents"), planted=True)
+    # the greatest length/period without fractions: compared crosswise
+    best = F.aggregate(
+        "runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"),
+        lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best),
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return made.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
