@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import arrow_map, documents, stage
 
@@ -266,6 +266,31 @@ def _salted(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> Dat
     return df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(copies, [on, "salt"], how).drop("salt")
 
 
+def _met(rare: DataFrame, all_pairs: bool) -> DataFrame:
+    """Pairs (a < b) of different groups and fitting sizes that share a shingle of ``rare`` (h, node, group, n).
+
+    At most OFTEN texts hold one.  Pairs are made and tested inside its list, so only those to confirm become rows.
+    Without ``all_pairs`` just the ones with the list's smallest text."""
+    lists = rare.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("node", "group", "n"))).alias("x")).filter(F.size("x") > 1)
+
+    def partners(one: Column, place: Column) -> Column:
+        later = F.slice("x", place + 2, F.lit(OFTEN))
+        fits = F.filter(later, lambda two: (two["group"] != one["group"]) & (100 * F.least(one["n"], two["n"]) >= 75 * F.greatest(one["n"], two["n"])))
+        return F.transform(fits, lambda two: F.struct(one["node"].alias("a"), two["node"].alias("b")))
+
+    pairs = F.flatten(F.transform("x" if all_pairs else F.slice("x", 1, 1), partners))
+    return lists.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _joined_groups(links: DataFrame, crowd: DataFrame) -> DataFrame | None:
+    """node, component of the groups of ``crowd`` (node, group) that ``links`` (a, b) join; None where there is no link."""
+    if links.isEmpty():
+        return None
+    one = crowd.select(F.col("node").alias("a"), F.col("group").alias("group_a"))
+    two = crowd.select(F.col("node").alias("b"), F.col("group").alias("group_b"))
+    return components(links.join(one, "a").join(two, "b").select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
+
+
 def _crowd_links(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar texts of different groups.  ``crowd``: node, group; ``texts``: node, text.
 
@@ -282,15 +307,21 @@ def _crowd_links(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     often = rows.groupBy("h").count().filter(F.col("count") > OFTEN).select("h", F.lit(True).alias("often"))
     rows = stage(_salted(rows, often, "h", "left"), "crowd-rows")
 
-    # by a shingle that few hold: at most OFTEN texts each
-    few = rows.filter("often is null").groupBy("h").agg(F.collect_list(F.struct("node", "group", "n")).alias("x")).filter(F.size("x") > 1)
-    rare = (
-        few.select("x", F.explode("x").alias("p")).select("p", F.explode("x").alias("q"))
-        .filter((F.col("p.node") < F.col("q.node")) & (F.col("p.group") != F.col("q.group")))
-        .filter(100 * F.least("p.n", "q.n") >= 75 * F.greatest("p.n", "q.n"))
-        .select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    )
-    by_rare = _similar(rare, sets.select("node", "shingles"))
+    # By a shingle that few hold.  Rare ones first, the first shingle that two similar texts have in common is among the
+    # n - ceil(0.75 n) + 1 first of both, so only those are offered.
+    rare = rows.filter("often is null").withColumn("held_by", F.count("*").over(Window.partitionBy("h")))
+    rare = rare.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("held_by", "h")))
+    rare = stage(rare.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1).select("h", "node", "group", "n"), "crowd-rare")
+    # every text meets the smallest of its list; what that joins is not compared again
+    stars = stage(_similar(_met(rare, all_pairs=False), sets.select("node", "shingles")), "crowd-stars")
+    joined = _joined_groups(stars, crowd)
+    if joined is not None:
+        rare = stage(
+            rare.join(joined.select(F.col("node").alias("group"), "component"), "group", "left")
+            .withColumn("group", F.coalesce("component", "group")).drop("component"),
+            "crowd-rare",
+        )
+    by_rare = stars.unionByName(_similar(_met(rare, all_pairs=True), sets.select("node", "shingles")))
 
     # by frequent shingles alone
     members = stage(
