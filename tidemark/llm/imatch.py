@@ -119,9 +119,10 @@ def with_next(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     tops = keys.repartitionByRange(buckets, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.max("k").alias("top"))
     tops = stage(tops.agg(F.array_sort(F.collect_set("top")).alias("tops")), "range-tops")
     top = tops.scalar()
-    # the number of tops below the key, by halving
+    # the number of tops below the key, by halving; there may be more or fewer ranges than were asked for
+    ranges = tops.select(F.size("tops")).first()[0]
     placed = rows.withColumn("_range", F.lit(0))
-    for power in range(buckets.bit_length(), -1, -1):
+    for power in range(ranges.bit_length(), -1, -1):
         step = 1 << power
         placed = placed.withColumn("_range", F.when(F.get(top, F.col("_range") + (step - 1)) < F.col(key), F.col("_range") + step).otherwise(F.col("_range")))
     above = F.when(F.get(top, F.col("_range")) == F.col(key), F.pmod(F.col("_range") + 1, F.size(top)))
