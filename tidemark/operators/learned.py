@@ -1,193 +1,208 @@
-"""Tree ensembles over the pooled panel, one MLlib model per origin date, rule and horizon.
+"""Tree ensembles over the pooled panel: fitted by a shared refit calendar, kept as a table, applied to any request.
 
-A model pools the series that ask for a forecast from the same origin date, so no row of its training data is later
-than the date it forecasts from, however long each series runs.  Every series contributes pairs (predictors at t, value at t + its own lead) whose
-label lies inside its training window; the prediction row is the one at its
-training cutoff.  Pairs are written once, partitioned by fit, so each fit reads
-only its own files.
+A fit is a (metric, window rule, refit date, lead).  Refit dates are the first origin dates of every ``refit_days`` days, shared by all
+series, and a fold is forecast by the newest fit not later than its origin.  A fit pools all series: each gives the pairs
+(predictors at t, value at t + lead) inside the training window of its newest fold up to the refit date, so no label is later than
+the date a forecast is made from.  The number of fits follows the calendar and not the number of series, and a fit draws
+``fit_rows`` of its pairs by hash where the pool holds more, so its group is bounded too.
+
+Spark groups the pairs by fit and every group grows its trees in one task; fits and forecasts are two steps, and the
+table between them holds the trees themselves.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.config import Engine
+from tidemark.functions.trees import Trees, gradient_boosting, random_forest
 from tidemark.operators.features import feature_columns
 from tidemark.session import stage
 
-FIT = ["metric", "window_rule", "origin_date", "horizon"]
-
-
-def latest_folds(rows: DataFrame, k: int | None) -> DataFrame:
-    """Requests of the latest ``k`` folds of every series; all of them for ``None``."""
-    if k is None:
-        return rows
-    newest = F.max("fold_id").over(Window.partitionBy("series_id"))
-    return rows.withColumn("behind", newest - F.col("fold_id")).filter(F.col("behind") < k).drop("behind")
+FIT = ["metric", "window_rule", "refit_date", "lead"]
+EPOCH = "1970-01-05"
+SPREAD = 1 << 30
+# requests of one fit are forecast by several tasks where they are many
+ROWS_PER_SALT = 100_000
+FITS = (
+    "metric string, window_rule string, refit_date date, lead int, family string, n_pairs bigint, n_dropped bigint, fit_failed boolean, "
+    "failure_reason string, importances array<struct<feature:string,importance:double>>, model binary"
+)
+
+
+def asked_fits(rows: DataFrame, engine: Engine) -> DataFrame:
+    """Requests of the targets with the fit that forecasts them."""
+    rows = rows.filter(F.col("metric").isin(*engine.targets))
+    period = F.floor(F.datediff("origin_date", F.lit(EPOCH).cast("date")) / engine.refit_days)
+    placed = rows.withColumn("_period", period)
+    firsts = placed.groupBy("_period").agg(F.min(F.col("origin_date").cast("date")).alias("refit_date"))
+    return placed.join(firsts, "_period").drop("_period").withColumn("lead", F.col("effective_lead").cast("int"))
+
+
+def pool_windows(asked: DataFrame) -> DataFrame:
+    """series_id, fit, first and last predictor position of every series' part in every fit."""
+    by = Window.partitionBy("series_id", "metric", "window_rule").orderBy("origin_date")
+    folds = asked.select(
+        "series_id", "metric", "window_rule", F.col("origin_date").cast("date").alias("origin_date"), "train_start_pos", "train_cutoff_pos"
+    ).distinct().withColumn("_next", F.lead("origin_date").over(by))
+    dates = asked.select("refit_date").distinct().agg(F.array_sort(F.collect_set("refit_date"))).scalar()
+    newest = (F.col("_date") >= F.col("origin_date")) & (F.col("_next").isNull() | (F.col("_date") < F.col("_next")))
+    held = folds.withColumn("_dates", dates).withColumn("_date", F.explode("_dates")).filter(newest)
+    leads = asked.select(*FIT).distinct()
+    return held.select(
+        "series_id", "metric", "window_rule", F.col("_date").alias("refit_date"), "train_start_pos", "train_cutoff_pos"
+    ).join(leads, FIT[:3]).withColumn("last_pos", F.col("train_cutoff_pos") - F.col("lead")).filter(
+        F.col("last_pos") >= F.col("train_start_pos")
+    )
 
 
 def pairs(rows: DataFrame, features: DataFrame, panel: DataFrame, engine: Engine) -> DataFrame:
-    """Training pairs of every fit, plus its prediction rows (``is_training`` false)."""
+    """Training pairs of every fit: series_id, fit, pos, label, predictors.
+
+    A label lies inside the training window of its series; pairs without a label are left out.
+    """
     columns = feature_columns(features)
-    asked = rows.select(
-        "series_id", *FIT, "fold_id", "train_start_pos", "train_cutoff_pos", "effective_lead"
-    )
-    inside = asked.join(features.select("series_id", "pos", *columns), "series_id").filter(
-        F.col("pos").between(F.col("train_start_pos"), F.col("train_cutoff_pos"))
-    )
-    labels = panel.select(
-        "series_id", "metric", F.col("pos").alias("label_pos"), F.col("value").alias("label")
-    )
-    labelled = inside.withColumn("label_pos", F.col("pos") + F.col("effective_lead")).join(
-        labels, ["series_id", "metric", "label_pos"], "left"
-    )
-    trains = (F.col("label_pos") <= F.col("train_cutoff_pos")) & F.col("label").isNotNull()
-    ends = F.col("pos") == F.col("train_cutoff_pos")
-    return labelled.withColumn("is_training", trains & ~ends).filter(trains | ends).select(
-        "series_id", *FIT, "fold_id", "pos", "is_training", "label", *columns
-    )
+    windows = pool_windows(asked_fits(rows, engine))
+    leads = windows.select("metric", "lead").distinct()
+    values = panel.filter(F.col("value").isNotNull()).select("series_id", "metric", F.col("pos").alias("label_pos"), F.col("value").alias("label"))
+    labels = values.join(leads, "metric").select("series_id", "metric", "lead", (F.col("label_pos") - F.col("lead")).alias("pos"), "label")
+    labelled = labels.join(features.select("series_id", "pos", *[F.col(c).cast("double").alias(c) for c in columns]), ["series_id", "pos"])
+    # a pool beyond the bound is thinned by hash, before anything is shuffled by fit
+    whole = windows.groupBy(*FIT).agg(F.sum(F.col("last_pos") - F.col("train_start_pos") + 1).alias("_pool"))
+    share = F.least(F.lit(1.0), F.lit(float(engine.fit_rows)) / F.col("_pool"))
+    drawn = F.pmod(F.xxhash64("series_id", "pos"), F.lit(SPREAD)) < share * SPREAD
+    inside = F.col("pos").between(F.col("train_start_pos"), F.col("last_pos"))
+    windows = windows.join(whole, FIT)
+    return labelled.join(windows, ["series_id", "metric", "lead"]).filter(inside & drawn).select("series_id", *FIT, "pos", "label", *columns)
+
 
+def _matrix(table: pa.Table, columns: list[str]) -> np.ndarray:
+    return np.column_stack([table.column(c).to_numpy().astype(float) for c in columns])
 
-def _imputed(columns: list[str]) -> list[str]:
-    return [f"{c}__filled" for c in columns]
 
+def fit_group(family: str, x: np.ndarray, y: np.ndarray, engine: Engine) -> tuple[Trees | None, np.ndarray, int, str]:
+    """The trees of one fit, the predictors they know, the number of usable pairs, and why there are none.
 
-def estimator(family: str, columns: list[str], engine: Engine) -> Pipeline:
-    """Random forest: complete rows train it, medians stand in at prediction time.
-    Boosting: missing predictors are kept as medians beside a missing indicator,
-    because vectors may not hold NaN."""
-    fill = Imputer(strategy="median", inputCols=columns, outputCols=_imputed(columns))
+    A forest trains on complete rows and fills gaps of a forecast's row with medians; boosting keeps gaps as gaps.  A predictor
+    never seen is left out.
+    """
+    seen = ~np.isnan(x).all(axis=0) if len(x) else np.zeros(x.shape[1], bool)
+    x = x[:, seen]
     if family == "random_forest":
-        inputs = _imputed(columns)
-        model = RandomForestRegressor(
-            featuresCol="x", labelCol="label", predictionCol="y_pred", numTrees=engine.trees, maxDepth=8,
-            minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=engine.seed,
-        )
-        return Pipeline(stages=[fill, VectorAssembler(inputCols=inputs, outputCol="x"), model])
-    if family == "gradient_boosting":
-        flags = ", ".join(f"CAST(`{c}` IS NULL AS DOUBLE) AS `{c}__missing`" for c in columns)
-        inputs = _imputed(columns) + [f"{c}__missing" for c in columns]
-        model = GBTRegressor(
-            featuresCol="x", labelCol="label", predictionCol="y_pred", maxIter=engine.boosting_rounds,
-            maxDepth=4, stepSize=0.05, minInstancesPerNode=5, seed=engine.seed,
-        )
-        return Pipeline(stages=[
-            SQLTransformer(statement=f"SELECT *, {flags} FROM __THIS__"), fill,
-            VectorAssembler(inputCols=inputs, outputCol="x"), model,
-        ])
-    raise ValueError(f"unknown family {family!r}")
-
-
-def complete(columns: list[str]) -> Column:
-    return reduce(lambda a, c: a & F.col(c).isNotNull(), columns, F.lit(True))
-
-
-def fit_one(
-    data: DataFrame, cell: dict, family: str, engine: Engine
-) -> tuple[DataFrame, PipelineModel | None, dict]:
-    """Forecast rows, the fitted model and its pair counts for one cell."""
-    columns = feature_columns(data)
-    mine = data.filter(reduce(lambda a, k: a & (F.col(k) == cell[k]), FIT, F.lit(True)))
-    train = mine.filter("is_training")
-    # a predictor never seen in training has no median and is left out
-    seen = train.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(complete(columns)).alias("n_complete"),
-        *[F.count(c).alias(c) for c in columns],
-    ).first()
-    used = [c for c in columns if seen[c] > 0]
-    usable = seen["n_complete"] if family == "random_forest" else seen["n"]
-    rows = mine.filter(~F.col("is_training"))
-    note = {**cell, "family": family, "n_pairs": usable, "n_dropped": seen["n"] - usable}
-    if usable < engine.min_pairs:
-        reason = f"only {usable} usable pairs (min {engine.min_pairs})"
-        out = rows.select(
-            "series_id", *FIT, "fold_id", F.lit(None).cast("double").alias("y_pred"),
-            F.lit(True).alias("fit_failed"), F.lit(reason).alias("failure_reason"),
-        )
-        return out, None, note
+        complete = ~np.isnan(x).any(axis=1)
+        x, y = x[complete], y[complete]
+    if len(y) < engine.min_pairs:
+        return None, seen, len(y), f"only {len(y)} usable pairs (min {engine.min_pairs})"
     if family == "random_forest":
-        train = train.filter(complete(columns))
-    try:
-        model = estimator(family, used, engine).fit(train)
-    except Exception as problem:  # one cell's failure is a row of the result, not the end of the run
-        out = rows.select(
-            "series_id", *FIT, "fold_id", F.lit(None).cast("double").alias("y_pred"),
-            F.lit(True).alias("fit_failed"), F.lit(f"fit raised {type(problem).__name__}").alias("failure_reason"),
-        )
-        return out, None, note
-    made = model.transform(rows).select(
-        "series_id", *FIT, "fold_id", "y_pred", F.lit(False).alias("fit_failed"), F.lit("").alias("failure_reason")
-    )
-    return made, model, note
+        made = random_forest(x, y, engine.trees, 8, 5, engine.seed)
+    else:
+        made = gradient_boosting(x, y, engine.boosting_rounds, 4, 5, 0.05, engine.seed)
+    return made, seen, len(y), ""
 
 
-def learned_forecasts(
-    rows: DataFrame, features: DataFrame, panel: DataFrame, engine: Engine, families: tuple, k: int = 1,
-    threads: int = 4,
-) -> tuple[DataFrame, dict]:
-    """Forecasts of the latest ``k`` folds, and the fitted models by cell.
+def fit_table(rows: DataFrame, features: DataFrame, panel: DataFrame, engine: Engine, family: str) -> DataFrame:
+    """One row per fit: how many pairs it used and dropped, whether it failed and why, importances, and the trees.
 
-    The number of fits is metrics x rules x origin dates x horizons per family, so it is bounded by the
-    calendar and not by the number of series; fits run side by side from a few driver threads.
+    Fits without a single pair have no row.  A fit that raises is a failed row and does not end the others.
     """
-    asked = latest_folds(rows.filter(F.col("metric").isin(*engine.targets)), k)
-    data = stage(pairs(asked, features, panel, engine), "pairs", tuple(FIT))
-    spark = rows.sparkSession
-    # bounded by the calendar: one row per metric, rule, origin date and horizon
-    cells = [r.asDict() for r in asked.select(*FIT).distinct().orderBy(*FIT).collect()]
-    jobs = [(c, f) for f in families for c in cells]
-
-    def one(job):
-        return fit_one(data, job[0], job[1], engine)
-
-    with ThreadPoolExecutor(threads) as pool:
-        done = list(pool.map(inheritable_thread_target(spark)(one), jobs))
-    made = reduce(
-        DataFrame.unionByName,
-        [d.withColumn("model", F.lit(f)) for (d, _, _), (_, f) in zip(done, jobs)],
-    )
-    models = {(f, *c.values()): (m, note) for (_, m, note), (c, f) in zip(done, jobs)}
-    back = asked.join(made.drop("origin_date"), ["series_id", "metric", "window_rule", "fold_id", "horizon"])
-    return back.select(
-        "*", F.lit(None).cast("double").alias("y_pred_lo"), F.lit(None).cast("double").alias("y_pred_hi")
-    ), models
-
-
-def save_models(models: dict, folder: str) -> None:
-    """Fitted pipelines in MLlib's own format, one folder per cell."""
-    for key, (model, _) in models.items():
-        if model is not None:
-            model.write().overwrite().save(f"{folder}/" + "-".join(str(k) for k in key))
-
-
-def importances(models: dict, spark) -> DataFrame:
-    """Importance per (family, metric, rule, horizon, feature); tables of a few hundred rows."""
-    rows = []
-    for (family, metric, rule, origin, horizon), (model, note) in models.items():
-        if model is None:
-            continue
-        names = model.stages[-2].getInputCols()
-        values = model.stages[-1].featureImportances.toArray()
-        rows += [
-            (metric, family, rule, origin, horizon, n.replace("__filled", ""), float(v), note["n_pairs"])
-            for n, v in zip(names, values)
+    if family not in ("random_forest", "gradient_boosting"):
+        raise ValueError(f"unknown family {family!r}")
+    columns = feature_columns(features)
+    data = pairs(rows, features, panel, engine)
+
+    def fit(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table.column("pos").to_numpy(), np.array(table.column("series_id").to_pylist(), dtype=object).astype(str)))
+        table = table.take(pa.array(order))
+        key = {k: table.column(k)[0].as_py() for k in FIT}
+        x, y = _matrix(table, columns), table.column("label").to_numpy().astype(float)
+        try:
+            made, seen, used, reason = fit_group(family, x, y, engine)
+        except (ValueError, FloatingPointError, np.linalg.LinAlgError, MemoryError) as problem:
+            made, seen, used, reason = None, np.zeros(len(columns), bool), 0, f"fit raised {type(problem).__name__}: {problem}"
+        known = [c for c, s in zip(columns, seen) if s]
+        out = key | {
+            "family": family, "n_pairs": used, "n_dropped": len(y) - used, "fit_failed": made is None, "failure_reason": reason,
+            "importances": [{"feature": c, "importance": float(v)} for c, v in zip(known, made.importance)] if made else [],
+            "model": made.dump() if made else None,
+        }
+        return pa.Table.from_pylist([out], schema=_arrow_schema())
+
+    fits = data.select(*FIT).distinct().count()
+    width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), fits // 4)
+    return data.repartition(width, *FIT).groupBy(*FIT).applyInArrow(fit, FITS)
+
+
+def _arrow_schema() -> pa.Schema:
+    importance = pa.list_(pa.struct([("feature", pa.string()), ("importance", pa.float64())]))
+    kinds = {"string": pa.string(), "date": pa.date32(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([(n, kinds.get(k, importance)) for n, k in (f.split(" ", 1) for f in FITS.replace(", ", "|").split("|"))])
+
+
+def apply_fits(rows: DataFrame, features: DataFrame, fits: DataFrame, engine: Engine) -> DataFrame:
+    """``rows`` with y_pred from the stored trees, fit_failed, forecast_failed and failure_reason.
+
+    A request takes the newest fit of its metric, rule and lead that is not later than its origin; its predictors are those at its
+    training cutoff.  So stored fits answer later requests too, without being made again.  A request whose fit is missing or failed, or whose forecast fails, has
+    a null forecast and a reason; it ends no other.
+    """
+    columns = feature_columns(features)
+    calendar = fits.groupBy("metric", "window_rule", "lead").agg(F.collect_set("refit_date").alias("_dates"))
+    asked = rows.filter(F.col("metric").isin(*engine.targets)).withColumn("lead", F.col("effective_lead").cast("int"))
+    asked = asked.join(calendar, ["metric", "window_rule", "lead"], "left")
+    known = F.array_max(F.filter("_dates", lambda d: d <= F.col("origin_date").cast("date")))
+    asked = asked.withColumn("refit_date", F.coalesce(known, F.lit(EPOCH).cast("date"))).drop("_dates")
+    keys = ["series_id", *FIT, "fold_id", "horizon"]
+    at = features.select("series_id", F.col("pos").alias("train_cutoff_pos"), *[F.col(c).cast("double").alias(c) for c in columns])
+    wanted = asked.select(*keys, "train_cutoff_pos").join(at, ["series_id", "train_cutoff_pos"], "left").drop("train_cutoff_pos")
+    sizes = asked.groupBy(*FIT).agg(F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("_salts"))
+    wanted = wanted.join(sizes, FIT).withColumn("_salt", F.pmod(F.xxhash64("series_id", "fold_id"), F.col("_salts")).cast("int")).drop("_salts")
+    stored = fits.join(sizes, FIT).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    stored = stored.select(*[F.col(c).alias(f"fit_{c}") for c in (*FIT, "_salt")], "fit_failed", "failure_reason", "model", F.col("importances.feature").alias("known"))
+    schema = ", ".join(f"{k} {dict(wanted.dtypes)[k]}" for k in keys) + ", y_pred double, fit_failed boolean, forecast_failed boolean, failure_reason string"
+
+    def forecast(requests: pa.Table, stored: pa.Table) -> pa.Table:
+        n = requests.num_rows
+        y, failed, broken, reason = np.full(n, np.nan), np.ones(n, bool), np.zeros(n, bool), np.full(n, "no training pair", object)
+        if stored.num_rows:
+            failed[:] = stored.column("fit_failed")[0].as_py()
+            reason[:] = stored.column("failure_reason")[0].as_py()
+        if n and not failed.any():
+            try:
+                trees = Trees.load(stored.column("model")[0].as_py())
+                y = trees.predict(_matrix(requests, stored.column("known")[0].as_py()))
+                broken = ~np.isfinite(y)
+                reason[broken] = "forecast is not finite"
+            except (ValueError, KeyError, IndexError, OSError) as problem:
+                broken[:], reason[:] = True, f"forecast raised {type(problem).__name__}: {problem}"
+        made = [requests.column(k) for k in keys] + [
+            pa.array(y, pa.float64(), mask=~np.isfinite(y)), pa.array(failed), pa.array(broken), pa.array(reason.tolist(), pa.string())
         ]
-    return spark.createDataFrame(
-        rows,
-        "metric string, family string, window_rule string, origin_date date, horizon int, feature string, "
-        "importance double, n_training_pairs bigint",
-    )
+        return pa.table(made, names=[*keys, "y_pred", "fit_failed", "forecast_failed", "failure_reason"])
+
+    by = [*FIT, "_salt"]
+    made = wanted.groupBy(*by).cogroup(stored.groupBy(*[f"fit_{c}" for c in by])).applyInArrow(forecast, schema)
+    back = asked.join(made.drop("refit_date", "lead"), ["series_id", "metric", "window_rule", "fold_id", "horizon"]).drop("refit_date", "lead")
+    return back.select("*", F.lit(None).cast("double").alias("y_pred_lo"), F.lit(None).cast("double").alias("y_pred_hi"))
+
+
+def learned_forecasts(rows: DataFrame, features: DataFrame, panel: DataFrame, engine: Engine, family: str) -> tuple[DataFrame, DataFrame]:
+    """Forecasts of all requests of the targets, and the stored fits they come from."""
+    fits = stage(fit_table(rows, features, panel, engine, family), f"fits-{family}")
+    return apply_fits(rows, features, fits, engine).withColumn("model", F.lit(family)), fits
+
+
+def importances(fits: DataFrame) -> DataFrame:
+    """Importance per fit and predictor."""
+    return fits.filter(~F.col("fit_failed")).select(
+        "metric", "family", "window_rule", "refit_date", F.col("lead").alias("horizon"), F.explode("importances").alias("i"),
+        F.col("n_pairs").alias("n_training_pairs"),
+    ).select("metric", "family", "window_rule", "refit_date", "horizon", "i.feature", "i.importance", "n_training_pairs")
 
 
 def top_features(table: DataFrame, n: int = 8) -> DataFrame:
-    order = Window.partitionBy("metric", "family", "window_rule", "origin_date", "horizon").orderBy(
+    order = Window.partitionBy("metric", "family", "window_rule", "refit_date", "horizon").orderBy(
         F.col("importance").desc(), "feature"
     )
     return table.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)

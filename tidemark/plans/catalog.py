@@ -462,7 +462,7 @@ add("training_pairs_all_rows", _pairs(False), _pairs_sql(False))
 
 FITTED = ["series_id", "metric", "model", "window_rule", "fold_id", "horizon", "effective_lead", "y_true", "y_pred",
           "y_pred_lo", "y_pred_hi", "fit_failed", "failure_reason"]
-FULL_ENGINE = CHECKED.with_(smoothing=Engine().smoothing, trees=20, boosting_rounds=10)
+FULL_ENGINE = CHECKED.with_(smoothing=Engine().smoothing)
 
 
 def _statistical(model: str) -> Callable[[Workspace], DataFrame]:
@@ -483,9 +483,9 @@ def _learned_plan(family: str) -> Callable[[Workspace], DataFrame]:
 
 add("forecast_random_forest", _learned_plan("random_forest"), engine=FULL_ENGINE)
 add("forecast_gradient_boosting", _learned_plan("gradient_boosting"), engine=FULL_ENGINE)
-add("feature_importances", lambda w: learned.importances(w.learned("random_forest")[1], w.spark), engine=FULL_ENGINE)
+add("feature_importances", lambda w: learned.importances(w.learned("random_forest")[1]), engine=FULL_ENGINE)
 add("top_features_own_share", lambda w: learned.own_share(learned.top_features(
-    learned.importances(w.learned("random_forest")[1], w.spark))), engine=FULL_ENGINE)
+    learned.importances(w.learned("random_forest")[1]))), engine=FULL_ENGINE)
 add("family_winners", lambda w: w.pairs, "SELECT * FROM pairs")
 add("ensemble_forecasts", lambda w: w.ensemble.select(
         "series_id", "metric", "model", "window_rule", "fold_id", "horizon", "y_true", "y_pred", "ensemble_components"),

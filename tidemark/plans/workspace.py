@@ -132,13 +132,11 @@ class Workspace:
         """Every candidate's residuals, the ensemble's included."""
         return scoring.residuals(self.predictions).unionByName(scoring.residuals(self.ensemble))
 
-    def learned(self, family: str) -> tuple[DataFrame, dict]:
-        """Forecasts and fitted models of one tree family on the newest folds, fitted once."""
+    def learned(self, family: str) -> tuple[DataFrame, DataFrame]:
+        """Forecasts of all requests by one tree family, and its stored fits, made once."""
         if family not in self._learned:
-            e = self.engine.with_(rules=(self.engine.selection_rule,))
-            rows = self.requests.filter(F.col("window_rule") == self.engine.selection_rule)
-            made, models = learned.learned_forecasts(rows, self.features, self.targets, e, (family,))
-            self._learned[family] = (stage(made, "learned"), models)
+            made, fits = learned.learned_forecasts(self.requests, self.features, self.targets, self.engine, family)
+            self._learned[family] = (stage(made, "learned"), fits)
         return self._learned[family]
 
     # --- selection -----------------------------------------------------------
