@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import ArimaSpec, Engine, SmoothingSpec
-from tidemark.operators import statistical as M
-from tests.helpers import panel
+from tidemark.operators import smoothing as S, statistical as M
+from tests.helpers import panel, smoothing_forecast, smoothing_states
 
 WAVE = np.array([5.0, -3.0, 0.0, 2.0, -4.0])
 
@@ -23,7 +23,7 @@ def fitted(table):
 def test_smoothing_recovers_a_noise_free_season(spark):
     y = 100 + np.tile(WAVE, 30)
     engine = Engine(season=5, smoothing={"load": SmoothingSpec(seasonal=True)})
-    got = fitted(M.smoothing_fits(panel(spark, y), requests(spark, [99, 119], [1, 7, 14]), engine.smoothing, engine))
+    got = fitted(S.smoothing_forecasts(panel(spark, y), requests(spark, [99, 119], [1, 7, 14]), engine.smoothing, engine))
     for (cutoff, lead), row in got.items():
         assert row.y_pred == pytest.approx(100 + WAVE[(cutoff + lead) % 5], abs=1e-6) and not row.fit_failed
         assert row.y_pred_lo <= row.y_pred <= row.y_pred_hi
@@ -32,16 +32,59 @@ def test_smoothing_recovers_a_noise_free_season(spark):
 def test_one_pass_equals_a_separate_fit_per_cutoff():
     y = np.random.default_rng(1).normal(size=80).cumsum()
     spec = SmoothingSpec(trend=True, damped=True, seasonal=True)
-    together = M.smoothing_states(y, spec, 5, {40, 60, 80})
+    together = smoothing_states(y, spec, 5, {40, 60, 80})
     for n in (40, 60, 80):
-        alone = M.smoothing_states(y[:n], spec, 5, {n})[n]
-        assert M.smoothing_forecast(together[n], n, 7, spec) == pytest.approx(M.smoothing_forecast(alone, n, 7, spec))
+        alone = smoothing_states(y[:n], spec, 5, {n})[n]
+        assert smoothing_forecast(together[n], n, 7, spec) == pytest.approx(smoothing_forecast(alone, n, 7, spec))
+
+
+@pytest.mark.parametrize("spec", [
+    SmoothingSpec(), SmoothingSpec(seasonal=True), SmoothingSpec(trend=True), SmoothingSpec(trend=True, damped=True, seasonal=True),
+])
+def test_folded_recursion_equals_the_loop(spark, spec):
+    rng = np.random.default_rng(3)
+    y = [None if rng.random() < 0.05 else float(v) for v in np.round(50 + rng.normal(size=90).cumsum(), 2)]
+    engine = Engine(season=5, smoothing={"load": spec})
+    cutoffs, leads = [30, 31, 57, 89], [1, 2, 7, 14]
+    asked = requests(spark, cutoffs, leads).unionByName(requests(spark, cutoffs, leads, start=12))
+    rows = S.smoothing_forecasts(panel(spark, y), asked, engine.smoothing, engine).collect()
+    assert len(rows) == 2 * len(cutoffs) * len(leads)
+    for r in rows:
+        seen = np.array([v for v in y[r.train_start_pos : r.train_cutoff_pos + 1] if v is not None])
+        state = smoothing_states(seen, spec, 5, {len(seen)}).get(len(seen))
+        if len(seen) < S.smoothing_minimum(spec, 5):
+            assert r.fit_failed and r.y_pred is None
+            continue
+        want = smoothing_forecast(state, len(seen), r.effective_lead, spec)
+        assert (r.y_pred, r.y_pred_lo, r.y_pred_hi) == pytest.approx(want, rel=1e-9) and not r.fit_failed and not r.forecast_failed
+
+
+def test_a_stored_fit_answers_like_a_refit(spark):
+    y = np.random.default_rng(8).normal(size=100).cumsum() + 40
+    engine = Engine(season=5, smoothing={"load": SmoothingSpec(trend=True, damped=True, seasonal=True)})
+    table = S.with_counts(requests(spark, [60, 80], [1]), panel(spark, y))
+    fits = S.smoothing_fits(panel(spark, y), table, engine.smoothing, engine)
+    later = S.with_counts(requests(spark, [60, 80], [3, 14]), panel(spark, y))
+    stored = fitted(S.forecasts_from(fits, later, engine.smoothing, engine))
+    fresh = fitted(S.smoothing_forecasts(panel(spark, y), later.drop("n_finite"), engine.smoothing, engine))
+    assert {k: r.y_pred for k, r in stored.items()} == {k: r.y_pred for k, r in fresh.items()} and len(stored) == 4
+
+
+def test_a_forecast_that_is_not_finite_fails_alone(spark):
+    y = 100 + np.tile(WAVE, 20)
+    engine = Engine(season=5, smoothing={"load": SmoothingSpec(seasonal=True)})
+    table = S.with_counts(requests(spark, [60, 80], [1]), panel(spark, y))
+    fits = S.smoothing_fits(panel(spark, y), table, engine.smoothing, engine)
+    broken = fits.withColumn("level", F.when(F.col("n_finite") == 61, float("inf")).otherwise(F.col("level")))
+    got = fitted(S.forecasts_from(broken, table, engine.smoothing, engine))
+    assert got[60, 1].forecast_failed and not got[60, 1].fit_failed and got[60, 1].y_pred is None and got[60, 1].failure_reason
+    assert got[80, 1].y_pred == pytest.approx(100 + WAVE[81 % 5], abs=1e-6) and not got[80, 1].forecast_failed
 
 
 def test_smoothing_drops_missing_rows_and_abstains_when_short(spark):
     y = [None if i % 9 == 0 else 50.0 for i in range(60)]
     engine = Engine(season=5, smoothing={"load": SmoothingSpec(seasonal=True)})
-    got = fitted(M.smoothing_fits(panel(spark, y), requests(spark, [12, 59], [1]), engine.smoothing, engine))
+    got = fitted(S.smoothing_forecasts(panel(spark, y), requests(spark, [12, 59], [1]), engine.smoothing, engine))
     assert got[59, 1].y_pred == pytest.approx(50.0)
     short = got[12, 1]
     assert short.fit_failed and short.y_pred is None and "insufficient" in short.failure_reason
@@ -85,7 +128,7 @@ def test_later_rows_do_not_change_a_fit(spark):
     y = np.random.default_rng(4).normal(size=120).cumsum() + 50
     engine = Engine()
     ask = requests(spark, [89], [1, 7])
-    for fit, specs in ((M.smoothing_fits, engine.smoothing), (M.arima_fits, engine.arima)):
+    for fit, specs in ((S.smoothing_forecasts, engine.smoothing), (M.arima_fits, engine.arima)):
         a = fitted(fit(panel(spark, y[:90]), ask, specs, engine))
         b = fitted(fit(panel(spark, np.r_[y[:90], 9999 * np.ones(30)]), ask, specs, engine))
         assert [a[k].y_pred for k in sorted(a)] == [b[k].y_pred for k in sorted(b)]
@@ -94,4 +137,4 @@ def test_later_rows_do_not_change_a_fit(spark):
 def test_requests_of_other_metrics_are_left_alone(spark):
     engine = Engine(season=5, smoothing={"load": SmoothingSpec()})
     asked = requests(spark, [50], [1], metric="intake")
-    assert M.smoothing_fits(panel(spark, range(60)), asked, engine.smoothing, engine).filter(F.lit(True)).count() == 0
+    assert S.smoothing_forecasts(panel(spark, range(60)), asked, engine.smoothing, engine).filter(F.lit(True)).count() == 0

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.config import BASELINES, COMPLEXITY_ORDER, ENSEMBLE, Engine
 from tidemark.operators.baselines import baseline_forecasts
 from tidemark.operators.folds import actuals, fold_grid, training_windows
-from tidemark.operators.statistical import arima_fits, attach, smoothing_fits
+from tidemark.operators.smoothing import smoothing_forecasts
+from tidemark.operators.statistical import arima_fits, attach
 
 POINT = ["series_id", "metric", "window_rule", "fold_id", "horizon"]
 
@@ -60,11 +61,12 @@ def forecasts(
                 F.lit(None).cast("double").alias("y_pred_lo"),
                 F.lit(None).cast("double").alias("y_pred_hi"),
                 F.lit(False).alias("fit_failed"),
+                F.lit(False).alias("forecast_failed"),
                 F.lit("").alias("failure_reason"),
             )
         )
     if "exponential_smoothing" in models:
-        fits = smoothing_fits(panel, rows, engine.smoothing, engine)
+        fits = smoothing_forecasts(panel, rows, engine.smoothing, engine)
         parts.append(attach(rows, fits, "exponential_smoothing"))
     if "sarima" in models:
         fits = arima_fits(panel, rows, engine.arima, engine)

@@ -1,13 +1,8 @@
-"""Exponential smoothing and seasonal ARIMA, fitted per series inside tasks.
+"""Seasonal ARIMA, fitted per series inside tasks.
 
 Spark groups the requests of one (series, metric, training start) with that
 series' history; the fit is a few vectorised numpy steps.  Histories are bounded
 by the calendar, so a group never grows with the raw data.
-
-Exponential smoothing is fitted by one pass: its starting state depends only on
-the first two seasons, so the squared error of every grid point at *every*
-training cutoff falls out of a single run over the series, and all folds that
-share a start are answered together.
 """
 
 from __future__ import annotations
@@ -16,101 +11,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.config import ArimaSpec, Engine, SmoothingSpec
+from tidemark.config import ArimaSpec, Engine
 
 Z95 = 1.96
 KEYS = ["series_id", "metric", "train_start_pos"]
 OUTPUT = (
     "series_id string, metric string, train_start_pos int, train_cutoff_pos int, "
     "effective_lead int, y_pred double, y_pred_lo double, y_pred_hi double, "
-    "fit_failed boolean, failure_reason string"
+    "fit_failed boolean, forecast_failed boolean, failure_reason string"
 )
 
 
 def _abstain(requests: pd.DataFrame, reason: str) -> pd.DataFrame:
     return requests.assign(
-        y_pred=np.nan, y_pred_lo=np.nan, y_pred_hi=np.nan, fit_failed=True, failure_reason=reason
+        y_pred=np.nan, y_pred_lo=np.nan, y_pred_hi=np.nan, fit_failed=True, forecast_failed=False, failure_reason=reason
     )
 
 
-# ---------------------------------------------------------------- smoothing
-def smoothing_minimum(spec: SmoothingSpec, m: int) -> int:
-    return 2 * m + 4 if spec.seasonal else 6
-
-
-def smoothing_states(y: np.ndarray, spec: SmoothingSpec, m: int, wanted: set[int]) -> dict:
-    """Run every grid point over ``y`` (no gaps) once.
-
-    For each requested prefix length, keep the best grid point so far and its
-    state: ``{n: (alpha, beta, gamma, phi, level, slope, seasonal, sse)}``.
-    """
-    season = m if spec.seasonal else 1
-    grid = np.array(
-        [
-            (a, b, g, p)
-            for a in spec.alphas
-            for b in (spec.betas if spec.trend else (0.0,))
-            for g in (spec.gammas if spec.seasonal else (0.0,))
-            for p in (spec.phis if spec.trend and spec.damped else (1.0,))
-        ]
-    )
-    alpha, beta, gamma, phi = grid.T
-    first = y[:season].mean()
-    level = np.full(len(grid), first)
-    slope = np.full(len(grid), (y[season : 2 * season].mean() - first) / season if spec.trend else 0.0)
-    seasonal = np.tile((y[:season] - first) if spec.seasonal else [0.0], (len(grid), 1))
-    sse = np.zeros(len(grid))
-    out = {}
-    for t in range(y.size):
-        s = seasonal[:, t % season]
-        drift = phi * slope
-        error = y[t] - (level + drift + s)
-        if t >= season:  # the first season only sets the starting state
-            sse = sse + error * error
-        level = level + drift + alpha * error
-        if spec.trend:
-            slope = drift + alpha * beta * error
-        if spec.seasonal:
-            seasonal[:, t % season] = s + gamma * (1 - alpha) * error
-        if t + 1 in wanted:
-            best = int(np.argmin(sse))  # ties go to the smaller parameters
-            out[t + 1] = (*grid[best], level[best], slope[best], seasonal[best].copy(), sse[best])
-    return out
-
-
-def smoothing_forecast(state: tuple, n: int, lead: int, spec: SmoothingSpec) -> tuple:
-    """Point and native 95% interval ``lead`` steps after the first ``n`` values."""
-    alpha, beta, gamma, phi, level, slope, seasonal, sse = state
-    width = seasonal.size
-    damped = np.cumsum(phi ** np.arange(1, lead + 1))
-    point = level + slope * damped[-1] + seasonal[(n + lead - 1) % width]
-    weight = np.full(lead - 1, alpha)
-    if spec.trend:
-        weight = weight + alpha * beta * damped[: lead - 1]
-    if spec.seasonal:
-        weight = weight + gamma * (1 - alpha) * (np.arange(1, lead) % width == 0)
-    variance = sse / max(n - width, 1) * (1.0 + np.sum(weight * weight))
-    half = Z95 * np.sqrt(variance)
-    return float(point), float(point - half), float(point + half)
-
-
-def _smooth_group(spec: SmoothingSpec, m: int, pos, value, requests: pd.DataFrame) -> pd.DataFrame:
-    keep = np.isfinite(value)
-    seen, y = pos[keep], value[keep]
-    counts = np.searchsorted(seen, requests["train_cutoff_pos"], side="right")
-    minimum = smoothing_minimum(spec, m)
-    wanted = {int(n) for n in counts if n >= minimum}
-    states = smoothing_states(y, spec, m, wanted) if wanted else {}
-    rows = []
-    for n, lead in zip(counts, requests["effective_lead"]):
-        if int(n) not in states:
-            rows.append((np.nan, np.nan, np.nan, True, f"insufficient observations ({n} finite)"))
-            continue
-        rows.append((*smoothing_forecast(states[int(n)], int(n), int(lead), spec), False, ""))
-    made = pd.DataFrame(rows, columns=["y_pred", "y_pred_lo", "y_pred_hi", "fit_failed", "failure_reason"])
-    return pd.concat([requests.reset_index(drop=True), made], axis=1)
-
-
 # -------------------------------------------------------------------- arima
 MEMORY = 60  # seasons an innovation filter looks back
 
@@ -238,7 +155,7 @@ def _arima_group(spec: ArimaSpec, m: int, pos, value, requests: pd.DataFrame) ->
         try:
             made = arima_forecast(y, [int(x) for x in group["effective_lead"]], spec, m)
         except (np.linalg.LinAlgError, FloatingPointError, ValueError) as problem:
-            parts.append(_abstain(group, f"{type(problem).__name__}: {str(problem)[:200]}"))
+            parts.append(_abstain(group, f"{type(problem).__name__}: {problem}"))
             continue
         if made is None:
             parts.append(_abstain(group, "too few complete rows to estimate the terms"))
@@ -251,7 +168,8 @@ def _arima_group(spec: ArimaSpec, m: int, pos, value, requests: pd.DataFrame) ->
                 y_pred=point,
                 y_pred_lo=point - half,
                 y_pred_hi=point + half,
-                fit_failed=bad,
+                fit_failed=False,
+                forecast_failed=bad,
                 failure_reason=np.where(bad, "forecast is not finite", ""),
             )
         )
@@ -308,15 +226,8 @@ def _fit(
     return history.groupBy(*keys).cogroup(wanted.groupBy(*asked_keys)).applyInPandas(run, OUTPUT)
 
 
-def smoothing_fits(
-    panel: DataFrame, requests: DataFrame, specs: dict, engine: Engine
-) -> DataFrame:
-    """Forecasts for ``requests`` (series, metric, start, cutoff, lead)."""
-    return _fit(panel, requests, specs, engine, _smooth_group)
-
-
 def arima_fits(panel: DataFrame, requests: DataFrame, specs: dict, engine: Engine) -> DataFrame:
-    """Same contract as :func:`smoothing_fits`."""
+    """Forecasts for ``requests`` (series, metric, start, cutoff, lead)."""
     return _fit(panel, requests, specs, engine, _arima_group, engine.arima_buckets)
 
 

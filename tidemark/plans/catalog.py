@@ -13,7 +13,7 @@ from tidemark.config import BASELINES, Engine
 from tidemark.functions import scores as S
 from tidemark.functions.holidays import holidays
 from tidemark.operators import (
-    calendar, cleaning, explore, features, folds, harness, imbalance, intervals, kpi, learned, quality,
+    calendar, cleaning, explore, features, folds, harness, imbalance, intervals, kpi, learned, quality, smoothing,
     scoring, selection, warning,
 )
 from tidemark.plans import oracle_base as O
@@ -461,7 +461,7 @@ add("training_pairs_complete_rows", _pairs(True), _pairs_sql(True))
 add("training_pairs_all_rows", _pairs(False), _pairs_sql(False))
 
 FITTED = ["series_id", "metric", "model", "window_rule", "fold_id", "horizon", "effective_lead", "y_true", "y_pred",
-          "y_pred_lo", "y_pred_hi", "fit_failed", "failure_reason"]
+          "y_pred_lo", "y_pred_hi", "fit_failed", "forecast_failed", "failure_reason"]
 FULL_ENGINE = CHECKED.with_(smoothing=Engine().smoothing)
 
 
@@ -472,9 +472,23 @@ def _statistical(model: str) -> Callable[[Workspace], DataFrame]:
     return plan
 
 
-add("forecast_exponential_smoothing_seasonal", lambda w: _statistical("exponential_smoothing")(w).select(*FITTED), engine=FULL_ENGINE)
+add("forecast_exponential_smoothing_seasonal", lambda w: _statistical("exponential_smoothing")(w).select(*FITTED),
+    f"SELECT {', '.join(FITTED)} FROM hw_pred", "y_true y_pred y_pred_lo y_pred_hi", engine=FULL_ENGINE)
+
+
+def _smoothing_parameters(w: Workspace) -> DataFrame:
+    return w.smoothing_fits.select(*smoothing.KEYS, "n_finite", "alpha", "beta", "gamma", "phi", "level", "slope", F.sqrt(F.col("sse") / F.greatest(F.col("n_finite") - F.size("seasonal"), F.lit(1))).alias("residual_sd"))
+
+
+add("smoothing_parameters", _smoothing_parameters, """
+    SELECT DISTINCT series_id, metric, train_start_pos, n AS n_finite, z.alpha AS alpha, z.beta AS beta, z.gamma AS gamma, z.phi AS phi, z.level AS level,
+        z.slope AS slope, sqrt(z.sse / greatest(n - len(z.s), 1)) AS residual_sd FROM hw_best""", "alpha beta gamma phi level slope residual_sd", engine=FULL_ENGINE)
 add("forecast_sarima", lambda w: _statistical("sarima")(w).select(*FITTED), engine=FULL_ENGINE)
-add("native_interval_coverage", lambda w: scoring.native_coverage(_statistical("exponential_smoothing")(w), w.engine), engine=FULL_ENGINE)
+add("native_interval_coverage", lambda w: scoring.native_coverage(_statistical("exponential_smoothing")(w), w.engine), """
+    SELECT series_id, metric, model, horizon, count(*) AS n, avg(CAST(y_true BETWEEN y_pred_lo AND y_pred_hi AS INTEGER)) * 100 AS empirical_coverage_pct,
+        quantile_cont(y_pred_hi - y_pred_lo, 0.5) AS median_width, 95.0::DOUBLE AS nominal_pct
+    FROM hw_pred WHERE window_rule = 'full' AND y_pred_lo IS NOT NULL AND observed AND y_true IS NOT NULL GROUP BY ALL""",
+    "empirical_coverage_pct median_width nominal_pct", engine=FULL_ENGINE)
 
 
 def _learned_plan(family: str) -> Callable[[Workspace], DataFrame]:

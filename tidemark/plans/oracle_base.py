@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from tidemark.config import Engine
+
 M31 = 2147483647
 LEVELS = "(VALUES (0.75::DOUBLE),(0.80::DOUBLE),(0.85::DOUBLE),(0.90::DOUBLE),(0.95::DOUBLE))"
 ORDER = (
@@ -575,6 +577,76 @@ def summary(table: str, keys: str) -> str:
 block("warning_summary", summary("backtest", "series_id, metric"))
 
 
+# ------------------------------------------------------------------ smoothing over the whole grid
+def _cross(**axes: tuple) -> str:
+    """A grid as rows with its place; the last axis runs fastest."""
+    names = list(axes)
+    return (
+        f"SELECT row_number() OVER (ORDER BY {', '.join(names)}) - 1 AS place, * FROM "
+        + " CROSS JOIN ".join(f"(VALUES {', '.join(f'({v}::DOUBLE)' for v in axes[n])}) {n}_({n})" for n in names)
+    )
+
+
+def smoothing_blocks(specs: dict, m: int) -> None:
+    """Every grid point stepped through every history by recursion; the best state of each cutoff, and its forecasts."""
+    points = " UNION ALL ".join(
+        f"SELECT '{metric}' AS metric, {str(s.trend).lower()} AS trend, * FROM ("
+        + _cross(alpha=s.alphas, beta=s.betas if s.trend else (0.0,), gamma=s.gammas, phi=s.phis if s.trend and s.damped else (1.0,)) + ")"
+        for metric, s in specs.items()
+    )
+    block("hw_grid", points)
+    block("hw_asked", "SELECT DISTINCT series_id, metric, train_start_pos, train_cutoff_pos FROM req WHERE metric <> 'intake'")
+    block("hw_counts", """
+        SELECT a.*, count(q.value) AS n FROM hw_asked a JOIN panel q ON q.series_id = a.series_id AND q.metric = a.metric
+            AND q.pos BETWEEN a.train_start_pos AND a.train_cutoff_pos GROUP BY ALL""")
+    block("hw_hist", """
+        SELECT a.series_id, a.metric, a.train_start_pos, list(q.value::DOUBLE ORDER BY q.pos) AS y
+        FROM (SELECT DISTINCT series_id, metric, train_start_pos FROM hw_asked) a JOIN panel q ON q.series_id = a.series_id AND q.metric = a.metric
+            AND q.pos >= a.train_start_pos WHERE q.value IS NOT NULL GROUP BY 1, 2, 3""")
+    block("hw_steps", f"""
+        SELECT * FROM (WITH RECURSIVE z AS (
+            SELECT series_id, metric, train_start_pos, place, trend, alpha, beta, gamma, phi, 0 AS n, list_avg(y[1:{m}]) AS level,
+                CASE WHEN trend THEN (list_avg(y[{m + 1}:{2 * m}]) - list_avg(y[1:{m}])) / {m} ELSE 0.0::DOUBLE END AS slope,
+                list_transform(y[1:{m}], lambda v: v - list_avg(y[1:{m}])) AS s, 0.0::DOUBLE AS sse
+            FROM hw_hist JOIN hw_grid USING (metric)
+            UNION ALL
+            SELECT series_id, metric, train_start_pos, place, trend, alpha, beta, gamma, phi, n + 1, level + phi * slope + alpha * e,
+                CASE WHEN trend THEN phi * slope + alpha * beta * e ELSE slope END,
+                list_append(s[2:], s[1] + gamma * (1 - alpha) * e), CASE WHEN n >= {m} THEN sse + e * e ELSE sse END
+            FROM (SELECT z.*, h.y[n + 1] - (level + phi * slope + s[1]) AS e FROM z
+                  JOIN hw_hist h ON h.series_id = z.series_id AND h.metric = z.metric AND h.train_start_pos = z.train_start_pos WHERE n < len(h.y))
+        ) SELECT * FROM z)""")
+    block("hw_best", f"""
+        SELECT c.series_id, c.metric, c.train_start_pos, c.train_cutoff_pos, c.n, arg_min(z, (z.sse, z.place)) AS z
+        FROM hw_counts c JOIN hw_steps z ON z.series_id = c.series_id AND z.metric = c.metric AND z.train_start_pos = c.train_start_pos AND z.n = c.n
+        WHERE c.n >= {2 * m + 4} GROUP BY 1, 2, 3, 4, 5""")
+    damped = "list_sum(list_transform(range(1, {k} + 1), lambda i: pow(phi, i)))"
+    weight = f"alpha + CASE WHEN trend THEN alpha * beta * {damped.format(k='j')} ELSE 0 END + CASE WHEN j % {m} = 0 THEN gamma * (1 - alpha) ELSE 0 END"
+    block("hw_leads", f"""
+        SELECT c.series_id, c.metric, c.train_start_pos, c.train_cutoff_pos, c.n, l.effective_lead, z.z.* 
+        FROM hw_counts c JOIN (SELECT DISTINCT series_id, metric, train_start_pos, train_cutoff_pos, effective_lead FROM req) l
+            ON l.series_id = c.series_id AND l.metric = c.metric AND l.train_start_pos = c.train_start_pos AND l.train_cutoff_pos = c.train_cutoff_pos
+        LEFT JOIN hw_best z ON z.series_id = c.series_id AND z.metric = c.metric AND z.train_start_pos = c.train_start_pos AND z.train_cutoff_pos = c.train_cutoff_pos""".replace("z.z.*", "z.z.trend, z.z.alpha, z.z.beta, z.z.gamma, z.z.phi, z.z.level, z.z.slope, z.z.s, z.z.sse"))
+    block("hw_weights", f"""
+        SELECT series_id, metric, train_start_pos, train_cutoff_pos, effective_lead, sum(w * w) AS spread
+        FROM (SELECT *, {weight} AS w FROM (SELECT *, unnest(range(1, effective_lead)) AS j FROM hw_leads WHERE level IS NOT NULL)) GROUP BY ALL""")
+    block("hw_made", f"""
+        SELECT l.*, level + slope * {damped.format(k='l.effective_lead')} + s[(l.effective_lead - 1) % {m} + 1] AS hat,
+            1.96 * sqrt(sse / greatest(n - {m}, 1) * (1 + coalesce(spread, 0))) AS half
+        FROM hw_leads l LEFT JOIN hw_weights w ON w.series_id = l.series_id AND w.metric = l.metric AND w.train_start_pos = l.train_start_pos
+            AND w.train_cutoff_pos = l.train_cutoff_pos AND w.effective_lead = l.effective_lead""")
+    block("hw_pred", """
+        SELECT r.series_id, r.metric, 'exponential_smoothing' AS model, r.window_rule, r.fold_id, r.horizon, r.effective_lead, a.value AS y_true,
+            NOT a.is_imputed AND a.value IS NOT NULL AS observed, hat AS y_pred, hat - half AS y_pred_lo, hat + half AS y_pred_hi, level IS NULL AS fit_failed,
+            false AS forecast_failed, CASE WHEN level IS NULL THEN 'insufficient observations (' || n || ' finite)' ELSE '' END AS failure_reason
+        FROM req r JOIN panel a ON a.series_id = r.series_id AND a.metric = r.metric AND a.pos = r.test_pos
+        JOIN hw_made h ON h.series_id = r.series_id AND h.metric = r.metric AND h.train_start_pos = r.train_start_pos
+            AND h.train_cutoff_pos = r.train_cutoff_pos AND h.effective_lead = r.effective_lead""")
+
+
+smoothing_blocks(Engine().smoothing, Engine().season)
+
+
 # ------------------------------------------------------------------ assembly
 def needed(text: str) -> list[str]:
     """Blocks mentioned by ``text``, dependencies first."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.config import BASELINES, FIVE_DAY_WEEK, LEVEL_ONLY, Engine
 from tidemark.operators import (
-    calendar, cleaning, features, folds, harness, imbalance, intervals, kpi, learned, quality, scoring, selection, warning,
+    calendar, cleaning, features, folds, harness, imbalance, intervals, kpi, learned, quality, scoring, selection, smoothing, warning,
 )
 from tidemark.plans.panels import event_observations, order_observations
 from tidemark.session import ship_package, source_stamp, stage
@@ -132,6 +132,13 @@ class Workspace:
         """Every candidate's residuals, the ensemble's included."""
         return scoring.residuals(self.predictions).unionByName(scoring.residuals(self.ensemble))
 
+    @cached_property
+    def smoothing_fits(self) -> DataFrame:
+        """Stored smoothing fits of every training window of the backtest."""
+        e = self.engine
+        asked = self.requests.filter(F.col("metric").isin(*e.smoothing)).select(*smoothing.KEYS, "train_cutoff_pos").distinct()
+        return stage(smoothing.smoothing_fits(self.panel, smoothing.with_counts(asked, self.panel), e.smoothing, e), "smoothing-fits")
+
     def learned(self, family: str) -> tuple[DataFrame, DataFrame]:
         """Forecasts of all requests by one tree family, and its stored fits, made once."""
         if family not in self._learned:
