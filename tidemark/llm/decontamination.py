@@ -62,7 +62,7 @@ def _windows(df: DataFrame, masks: dict[int, str], around: int, *keep: str) -> D
     return seeds.filter("seed is not null") if len(set(map(len, masks.values()))) > 1 else seeds
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, allowed: int = 2) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, allowed: int = 2, key: str = "doc_id") -> DataFrame:
     """Documents that hold a passage of a benchmark item: doc_id, item_id, matched, item_tokens, share.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored.  A pair is reported if,
@@ -72,7 +72,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, allowed: i
 
     Null texts count as empty; items of fewer than five tokens cannot be matched; rows with a null
     item_id or doc_id are compared like others and keep the null.  Repeated rows give one pair, and so
-    do several texts under one id.  Empty tables give an empty result.  The benchmark is read in
+    do several texts under one id; another column that names rows can be given as ``key`` and is returned as doc_id.  Empty tables give an empty result.  The benchmark is read in
     blocks of about ``SEEDS_AT_ONCE`` windows, each of which is small enough to be sent to every task.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _hashes(F.col("text")).alias("h")).filter(F.size("h") >= SHORTEST)
@@ -84,7 +84,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, allowed: i
     blocks = max(1, -(-(found["tokens"] or 0) * len(masks) // SEEDS_AT_ONCE))
     around = window - SPAN
     reach = window + around
-    documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hashes(F.col("text")).alias("h"))
+    documents = docs.select((F.col(key).cast("long") if key == "doc_id" else F.col(key)).alias("doc_id"), _hashes(F.col("text")).alias("h"))
     places = _windows(documents, masks, around, "doc_id").select("doc_id", "part", "at", "seed")
     item_at = F.col("at") + F.col("shift")
     seeds = (

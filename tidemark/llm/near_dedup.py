@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import arrow_map, documents, stage
+from tidemark.llm.common import arrow_map, carried, documents, stage
 
 WORDS = 5
 TREES = 40
@@ -90,10 +90,11 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
             digests.append(None)
             keys.append(np.empty(0, np.int64))
     offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
+    more = [n for n in batch.schema.names if n not in ("doc_id", "text")]
     return pa.RecordBatch.from_arrays(
         [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
-         pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))],
-        ["doc_id", "n_shingles", "digest", "keys"],
+         pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys))), *map(batch.column, more)],
+        ["doc_id", "n_shingles", "digest", "keys", *more],
     )
 
 
@@ -402,7 +403,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: tuple = ()) -> DataFrame:
     """Components of texts whose five-word shingle sets have a similarity of at least 0.75.
 
     ``docs``: doc_id, text; other columns are ignored.  Returns one row per input row: doc_id,
@@ -410,10 +411,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A text with one to four words has its whole word sequence as its one shingle; an empty, blank or
     null text has none and is linked with nothing.  Rows with a null id take no part: their component is
     null and they are kept.  Repeated rows share a component; all rows with the component's id are kept, and an id with several texts links
-    what is like any of them.
+    what is like any of them.  ``carry``: short columns of ``docs`` that the result keeps, to tell such rows apart.
     """
-    base = documents(docs)
-    signed = stage(arrow_map(base, _sign, "doc_id long, n_shingles long, digest string, keys array<long>"), "signed")
+    base = documents(docs, *carry)
+    schema = carried("doc_id long, n_shingles long, digest string, keys array<long>", base, carry)
+    signed = stage(arrow_map(base, _sign, schema), "signed")
     known = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # equal sets: partial aggregation leaves one row per class and map task
     nodes = stage(
@@ -444,9 +446,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "digest", F.coalesce("component", "node").alias("component_id")
     )
     return (
-        signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+        signed.select("doc_id", "n_shingles", "digest", *carry).join(named, "digest", "left")
         .select(
-            "doc_id", "n_shingles",
+            "doc_id", "n_shingles", *carry,
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         )
         .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
