@@ -4,6 +4,7 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import (
     chat_roles, decontamination, language, near_dedup, sentence_pieces, substring_dedup, token_counts, topk, toxicity, warc_index,
 )
@@ -146,3 +147,33 @@ def test_chat_roles(spark):
     text = "".join(r["rendered"] for r in sorted((r for r in out if r["conv_id"] == 1), key=lambda r: (r["stretch"], r["place"])))
     assert text == "user:\nhi\n\n\nassistant:\nyo\n"
     assert chat_roles.repaired_turns(df.filter("false")).collect() == []
+
+
+PIPELINE_DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, row_key string"
+
+
+def staged(spark, rows):
+    prepare(spark)
+    return spark.createDataFrame([(i, t, None, "s", None, 1, "k") for i, t in rows], PIPELINE_DOCS)
+
+
+def kept_rows(df):
+    assert df.columns == list(corpus_pipeline.COLUMNS)
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    one, two, three = "the first text tells of a cat that sat down", "a second text tells of dogs that ran away at dawn", "quite another one about ships on a wide sea"
+    rows = [(3, one), (7, one), (7, two), (9, three), (9, three), (None, one), (4, None), (5, ""), (5, "")]
+    got = kept_rows(corpus_pipeline.one_of_each(spark, staged(spark, rows), ""))
+    assert got == sorted([(3, one), (7, two), (9, three), (None, one), (4, None), (5, "")], key=repr)
+    assert kept_rows(corpus_pipeline.one_of_each(spark, staged(spark, rows).filter("false"), "")) == []
+
+
+def test_pipeline_leaks_by_row(spark, tmp_path):
+    item = "which of these seven rivers flows through the old town and reaches the sea near the port"
+    spark.createDataFrame([(1, item, 2)], "item_id long, text string, doc_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {item} they said"), (None, "clean words without an id"), (2, f"so {item} they said"), (2, "clean words of the same id"), (3, None), (4, "")]
+    got = kept_rows(corpus_pipeline.without_leaks(spark, staged(spark, rows), str(tmp_path)))
+    assert got == sorted([(None, "clean words without an id"), (2, "clean words of the same id"), (3, None), (4, "")], key=repr)
+    assert kept_rows(corpus_pipeline.without_leaks(spark, staged(spark, rows).filter("false"), str(tmp_path))) == []
