@@ -25,12 +25,22 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, evidence=0, carry=("text", *BESIDES)).filter(F.col("score") < 0.5).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with row_key, 128 bits of the id and the text: ids may repeat or be null, so rows are chosen by it."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    return docs.withColumn("row_key", F.md5(F.concat(name, F.when(F.col("text").isNull(), "-").otherwise(":"), F.coalesce("text", F.lit("")))))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; empty documents and null ids stay."""
+    """One document of each group of near duplicates, that with the smallest id; empty documents and null ids stay.
+
+    Of rows with the same id and text one stays.  Where an id has several texts, each is judged for itself.
+    """
     prepare(spark)
-    found = near_dedup.near_duplicates(docs)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    found = near_dedup.near_duplicates(rows, carry=("row_key",))
+    kept = found.filter("kept").select("row_key").distinct()
+    return rows.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +52,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; rows without an id are judged like others."""
     prepare(spark)
-    leaks = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    leaks = decontamination.overlaps(rows, table(spark, sf_dir, "benchmark"), key="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(leaks, "row_key", "left_anti").select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
