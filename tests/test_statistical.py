@@ -108,6 +108,45 @@ def test_arima_estimates_a_moving_average():
     assert point == pytest.approx(float(weights @ y[::-1][:200]), abs=0.25)
 
 
+def test_no_better_parameters_near_those_of_a_fit():
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=260).cumsum() + np.tile(WAVE, 52) + rng.normal(size=260)
+    y[[30, 31, 90]] = np.nan
+    for spec in (ArimaSpec(order=(2, 1, 2)), ArimaSpec(order=(0, 1, 2)), ArimaSpec(order=(1, 0, 0), seasonal_order=(1, 1, 0))):
+        held = M._Folds(y, [60, 61, 150, 260], spec, 5)
+        u, sse, e, status = M.arima_parameters(held)
+        assert set(status) <= {M.CONVERGED, M.BOUNDARY} and M.CONVERGED in status
+        assert ((e * held.fit) ** 2).sum(0) == pytest.approx(sse)
+        for f in np.flatnonzero(status == M.CONVERGED):
+            for k in range(held.count):
+                for step in (0.02, -0.02, 0.2, -0.2):
+                    near = u[f].copy()
+                    near[k] += step
+                    found = held.innovations(near[None, None, :], np.array([f]))[:, 0, 0] * held.fit[:, f]
+                    assert found @ found >= sse[f] * (1 - 1e-6)
+
+
+def test_innovations_look_back_over_the_whole_history():
+    # a moving average near the unit circle remembers what a cut-off filter would drop
+    rng = np.random.default_rng(7)
+    held = M._Folds(rng.normal(size=900).cumsum(), [900], ArimaSpec(order=(0, 1, 1), seasonal_order=(0, 0, 0)), 7)
+    e = held.innovations(np.arctanh(np.array([[[-0.999]]])), np.array([0]))[:, 0, 0]
+    want = np.zeros(len(e))
+    for t, w in enumerate(held.w[:, 0]):
+        want[t] = w + (0.999 * want[t - 1] if t else 0.0)
+    assert e == pytest.approx(want)
+
+
+def test_folds_fitted_together_equal_folds_fitted_alone():
+    y = np.random.default_rng(9).normal(size=200).cumsum()
+    spec = ArimaSpec(order=(1, 1, 1))
+    together = M.arima_paths(M._Folds(y, [80, 120, 200], spec, 5), [[1, 7]] * 3)
+    for fit, n in zip(together, (80, 120, 200)):
+        alone = M.arima_forecast(y[:n], [1, 7], spec, 5)
+        for h in (1, 7):
+            assert fit["made"][h] == pytest.approx(alone[h], rel=1e-4)
+
+
 def test_arima_bridges_gaps_and_abstains_when_short(spark):
     y = 100 + np.tile(WAVE, 30)
     holes = [None if i in (20, 21, 50, 77) else float(v) for i, v in enumerate(y)]

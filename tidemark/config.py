@@ -116,7 +116,7 @@ class Engine:
         },
         hash=False,
     )
-    arima_buckets: int = 4
+    arima_buckets: int = 1
     # the two families whose per-cell winners are averaged by the ensemble
     ensemble_first: tuple = STATISTICAL
     ensemble_second: tuple = LEARNED

@@ -483,7 +483,10 @@ def _smoothing_parameters(w: Workspace) -> DataFrame:
 add("smoothing_parameters", _smoothing_parameters, """
     SELECT DISTINCT series_id, metric, train_start_pos, n AS n_finite, z.alpha AS alpha, z.beta AS beta, z.gamma AS gamma, z.phi AS phi, z.level AS level,
         z.slope AS slope, sqrt(z.sse / greatest(n - len(z.s), 1)) AS residual_sd FROM hw_best""", "alpha beta gamma phi level slope residual_sd", engine=FULL_ENGINE)
-add("forecast_sarima", lambda w: _statistical("sarima")(w).select(*FITTED), engine=FULL_ENGINE)
+add("forecast_sarima", lambda w: w.sarima.select(*FITTED, "fit_status"), engine=FULL_ENGINE)
+add("sarima_parameters", lambda w: w.sarima.select(
+    "series_id", "metric", "train_start_pos", "train_cutoff_pos", "fit_status", "n_residuals", "residual_sd", F.array_join(F.transform(
+        "parameters", lambda x: F.format_number(x, 6)), ",").alias("parameters")).distinct(), engine=FULL_ENGINE)
 add("native_interval_coverage", lambda w: scoring.native_coverage(_statistical("exponential_smoothing")(w), w.engine), """
     SELECT series_id, metric, model, horizon, count(*) AS n, avg(CAST(y_true BETWEEN y_pred_lo AND y_pred_hi AS INTEGER)) * 100 AS empirical_coverage_pct,
         quantile_cont(y_pred_hi - y_pred_lo, 0.5) AS median_width, 95.0::DOUBLE AS nominal_pct

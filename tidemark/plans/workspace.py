@@ -139,6 +139,12 @@ class Workspace:
         asked = self.requests.filter(F.col("metric").isin(*e.smoothing)).select(*smoothing.KEYS, "train_cutoff_pos").distinct()
         return stage(smoothing.smoothing_fits(self.panel, smoothing.with_counts(asked, self.panel), e.smoothing, e), "smoothing-fits")
 
+    @cached_property
+    def sarima(self) -> DataFrame:
+        """Forecasts of every training window of the targets, each with the parameters and the status of its fit."""
+        targets = self.requests.filter(F.col("metric").isin(*self.engine.targets))
+        return stage(harness.forecasts(targets, self.panel, self.engine, ("sarima",)), "sarima")
+
     def learned(self, family: str) -> tuple[DataFrame, DataFrame]:
         """Forecasts of all requests by one tree family, and its stored fits, made once."""
         if family not in self._learned:
