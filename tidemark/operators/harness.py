@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.config import BASELINES, COMPLEXITY_ORDER, ENSEMBLE, Engine
+from tidemark.config import BASELINES, COMPLEXITY_ORDER, ENSEMBLE, LEARNED, Engine
 from tidemark.operators.baselines import baseline_forecasts
 from tidemark.operators.folds import actuals, fold_grid, training_windows
 from tidemark.operators.smoothing import smoothing_forecasts
@@ -71,8 +71,10 @@ def forecasts(
     if "sarima" in models:
         fits = arima_fits(panel, rows, engine.arima, engine)
         parts.append(attach(rows, fits, "sarima"))
-    if learned is not None:
-        parts.append(learned.drop("last_seen", "recent"))
+    if any(m in LEARNED for m in models):
+        if learned is None:
+            raise ValueError("tree families are forecast from stored fits; pass their forecasts as learned")
+        parts.append(learned.filter(F.col("model").isin(*models)))
     columns = parts[0].columns
     return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
 

@@ -144,20 +144,25 @@ def apply_fits(rows: DataFrame, features: DataFrame, fits: DataFrame, engine: En
     """``rows`` with y_pred from the stored trees, fit_failed, forecast_failed and failure_reason.
 
     A request takes the newest fit of its metric, rule and lead that is not later than its origin; its predictors are those at its
-    training cutoff.  So stored fits answer later requests too, without being made again.  A request whose fit is missing or failed, or whose forecast fails, has
+    training cutoff.  So stored fits answer later requests too, without being made again.  Requests without a window_rule take
+    the deployed one.  A request whose fit is missing or failed, or whose forecast fails, has
     a null forecast and a reason; it ends no other.
     """
     columns = feature_columns(features)
-    calendar = fits.groupBy("metric", "window_rule", "lead").agg(F.collect_set("refit_date").alias("_dates"))
-    asked = rows.filter(F.col("metric").isin(*engine.targets)).withColumn("lead", F.col("effective_lead").cast("int"))
-    asked = asked.join(calendar, ["metric", "window_rule", "lead"], "left")
+    rule = F.col("window_rule") if "window_rule" in rows.columns else F.lit(engine.selection_rule)
+    calendar = fits.groupBy("metric", F.col("window_rule").alias("_rule"), "lead").agg(F.collect_set("refit_date").alias("_dates"))
+    asked = rows.filter(F.col("metric").isin(*engine.targets)).withColumn("lead", F.col("effective_lead").cast("int")).withColumn("_rule", rule)
+    asked = asked.join(calendar, ["metric", "_rule", "lead"], "left")
     known = F.array_max(F.filter("_dates", lambda d: d <= F.col("origin_date").cast("date")))
     asked = asked.withColumn("refit_date", F.coalesce(known, F.lit(EPOCH).cast("date"))).drop("_dates")
-    keys = ["series_id", *FIT, "fold_id", "horizon"]
+    # a forecast depends on nothing else, so requests that agree in these are answered once
+    keys = ["series_id", *FIT, "train_cutoff_pos"]
+    places = [c if c != "window_rule" else "_rule" for c in keys]
     at = features.select("series_id", F.col("pos").alias("train_cutoff_pos"), *[F.col(c).cast("double").alias(c) for c in columns])
-    wanted = asked.select(*keys, "train_cutoff_pos").join(at, ["series_id", "train_cutoff_pos"], "left").drop("train_cutoff_pos")
-    sizes = asked.groupBy(*FIT).agg(F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("_salts"))
-    wanted = wanted.join(sizes, FIT).withColumn("_salt", F.pmod(F.xxhash64("series_id", "fold_id"), F.col("_salts")).cast("int")).drop("_salts")
+    distinct = asked.select(*[F.col(p).alias(k) for p, k in zip(places, keys)]).distinct()
+    wanted = distinct.join(at, ["series_id", "train_cutoff_pos"], "left")
+    sizes = distinct.groupBy(*FIT).agg(F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("_salts"))
+    wanted = wanted.join(sizes, FIT).withColumn("_salt", F.pmod(F.xxhash64("series_id", "train_cutoff_pos"), F.col("_salts")).cast("int")).drop("_salts")
     stored = fits.join(sizes, FIT).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     stored = stored.select(*[F.col(c).alias(f"fit_{c}") for c in (*FIT, "_salt")], "fit_failed", "failure_reason", "model", F.col("importances.feature").alias("known"))
     schema = ", ".join(f"{k} {dict(wanted.dtypes)[k]}" for k in keys) + ", y_pred double, fit_failed boolean, forecast_failed boolean, failure_reason string"
@@ -183,7 +188,7 @@ def apply_fits(rows: DataFrame, features: DataFrame, fits: DataFrame, engine: En
 
     by = [*FIT, "_salt"]
     made = wanted.groupBy(*by).cogroup(stored.groupBy(*[f"fit_{c}" for c in by])).applyInArrow(forecast, schema)
-    back = asked.join(made.drop("refit_date", "lead"), ["series_id", "metric", "window_rule", "fold_id", "horizon"]).drop("refit_date", "lead")
+    back = asked.join(made.withColumnRenamed("window_rule", "_rule"), places).drop("refit_date", "lead", "_rule")
     return back.select("*", F.lit(None).cast("double").alias("y_pred_lo"), F.lit(None).cast("double").alias("y_pred_hi"))
 
 

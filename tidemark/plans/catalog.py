@@ -18,7 +18,7 @@ from tidemark.operators import (
 )
 from tidemark.plans import oracle_base as O
 from tidemark.plans.oracle_base import sql
-from tidemark.plans.workspace import CHECKED, CHECKED_MODELS, FIVE_DAY, HOURLY, Workspace, open_workspace
+from tidemark.plans.workspace import ALL_MODELS, CHECKED, CHECKED_MODELS, FIVE_DAY, FULL, HOURLY, Workspace, open_workspace
 from tidemark.session import shared_folder
 from tidemark.sources import provenance, raw_text, tables
 
@@ -415,9 +415,9 @@ for _name in CHECKED_MODELS:
         f"SELECT series_id, metric, window_rule, fold_id, horizon, effective_lead, y_pred FROM pred WHERE model = '{_name}'", "y_pred")
 add("walk_forward_predictions", lambda w: w.predictions.select(*FACT), "SELECT * FROM pred", FACT_DOUBLES)
 add("walk_forward_hourly", lambda w: w.predictions.select(*FACT), "SELECT * FROM e_pred", FACT_DOUBLES,
-    key="events", engine=HOURLY, models=BASELINES)
+    key="events", engine=HOURLY)
 add("metrics_by_nation", lambda w: scoring.metrics_matrix(w.predictions), O.measures("n_pred", O.CELL),
-    "MAE RMSE MAPE sMAPE MASE ME_bias", key="nation", models=BASELINES)
+    "MAE RMSE MAPE sMAPE MASE ME_bias", key="nation")
 add("metrics_hourly", lambda w: scoring.metrics_matrix(w.predictions), O.measures("e_pred", O.CELL),
     "MAE RMSE MAPE sMAPE MASE ME_bias", key="events", engine=HOURLY, models=BASELINES)
 
@@ -440,7 +440,7 @@ def _pairs_sql(complete: bool) -> str:
     usable = "l.value IS NOT NULL" + (" AND c.complete" if complete else "")
     return f"""
         WITH asked AS (SELECT DISTINCT series_id, metric, fold_id, window_rule, train_start_pos, train_cutoff_pos, horizon, effective_lead FROM req
-                       WHERE metric <> 'intake' AND window_rule = 'capped')
+                       WHERE metric <> 'intake')
         SELECT a.*, count(l.pos) AS n_candidates, count(CASE WHEN {usable} THEN 1 END) AS n_pairs,
             count(l.pos) - count(CASE WHEN {usable} THEN 1 END) AS n_dropped
         FROM asked a
@@ -453,7 +453,7 @@ def _pairs(complete: bool) -> Callable[[Workspace], DataFrame]:
     keep = ["series_id", "metric", "fold_id", "window_rule", "train_start_pos", "train_cutoff_pos", "horizon", "effective_lead"]
     return lambda w: features.training_pairs(
         w.features, w.targets,
-        w.requests.filter(F.col("metric").isin(*w.engine.targets) & (F.col("window_rule") == "capped")).select(*keep),
+        w.requests.filter(F.col("metric").isin(*w.engine.targets)).select(*keep),
         "effective_lead", complete)
 
 
@@ -495,14 +495,14 @@ add("native_interval_coverage", lambda w: scoring.native_coverage(_statistical("
 
 
 def _learned_plan(family: str) -> Callable[[Workspace], DataFrame]:
-    return lambda w: w.learned(family)[0].select(*FITTED)
+    return lambda w: w.learned(family).select(*FITTED)
 
 
 add("forecast_random_forest", _learned_plan("random_forest"), engine=FULL_ENGINE)
 add("forecast_gradient_boosting", _learned_plan("gradient_boosting"), engine=FULL_ENGINE)
-add("feature_importances", lambda w: learned.importances(w.learned("random_forest")[1]), engine=FULL_ENGINE)
+add("feature_importances", lambda w: learned.importances(w.learned_fits("random_forest")), engine=FULL_ENGINE)
 add("top_features_own_share", lambda w: learned.own_share(learned.top_features(
-    learned.importances(w.learned("random_forest")[1]))), engine=FULL_ENGINE)
+    learned.importances(w.learned_fits("random_forest")))), engine=FULL_ENGINE)
 add("family_winners", lambda w: w.pairs, "SELECT * FROM pairs")
 add("ensemble_forecasts", lambda w: w.ensemble.select(
         "series_id", "metric", "model", "window_rule", "fold_id", "horizon", "y_true", "y_pred", "ensemble_components"),
@@ -902,3 +902,26 @@ def _corr(form: str) -> str:
 
 for _form in ("levels", "differences", "detrended"):
     add(f"correlations_{_form}", lambda w, f=_form: explore.correlations(w.master, w.engine, f), _corr(_form), "correlation")
+
+
+# ================================================================= the whole candidate run
+# All seven candidates on the engine as it stands, from common support to the indicators.  No engine that reads only the raw
+# tables can grow the trees, so these are held against the checking SQL over their own predictions (tests/test_full_chain.py).
+def whole(name: str, plan: Callable[[Workspace], DataFrame]) -> None:
+    add(f"full_{name}", plan, engine=FULL, models=ALL_MODELS)
+
+
+whole("candidate_run", lambda w: w.predictions.select(*FACT))
+whole("metrics", lambda w: w.combined_metrics)
+whole("fit_reliability", lambda w: scoring.fit_reliability(w.predictions))
+whole("baseline_gate", lambda w: scoring.gate(
+    w.metrics.filter("fold_scope = 'post_cutoff_common_support'"), tuple(m for m in ALL_MODELS if m not in BASELINES)))
+whole("ensemble_components", lambda w: w.pairs)
+whole("ensemble_forecasts", lambda w: w.ensemble.select(
+    "series_id", "metric", "model", "window_rule", "fold_id", "horizon", "y_true", "y_pred", "ensemble_components"))
+whole("champions", lambda w: w.champions.select(*[joined(c) if c in LISTS else c for c in CHAMPION]))
+whole("champion_coverage", lambda w: w.coverage.select("series_id", "metric", "horizon", "model", *COVER, "evidence"))
+whole("forward_forecasts", lambda w: w.forward.select(*FORWARD))
+whole("holdout_evaluation", lambda w: w.holdout)
+whole("early_warning_backtest", lambda w: w.backtest.select(*BACKTEST))
+whole("kpi_summary", lambda w: w.kpis.select(*KPI))

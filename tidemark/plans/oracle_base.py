@@ -215,8 +215,8 @@ def prediction_blocks(p: str, where: str = "true") -> None:
 
 
 prediction_blocks("")
-prediction_blocks("n_", "model <> 'exponential_smoothing'")
-prediction_blocks("e_", "model <> 'exponential_smoothing'")
+prediction_blocks("n_")
+prediction_blocks("e_")
 
 
 def measures(table: str, keys: str) -> str:

@@ -8,11 +8,11 @@ files keep their size and change time.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.config import BASELINES, FIVE_DAY_WEEK, LEVEL_ONLY, Engine
+from tidemark.config import BASELINES, FIVE_DAY_WEEK, LEARNED, LEVEL_ONLY, STATISTICAL, Engine
 from tidemark.operators import (
     calendar, cleaning, features, folds, harness, imbalance, intervals, kpi, learned, quality, scoring, selection, smoothing, warning,
 )
@@ -31,6 +31,10 @@ CHECKED = Engine(
 )
 CHECKED_MODELS = (*BASELINES, "exponential_smoothing")
 
+# The engine as it stands: all seven candidates, the grid of smoothing parameters, the true ensemble, 10,000 draws.
+FULL = Engine()
+ALL_MODELS = (*BASELINES, *STATISTICAL, *LEARNED)
+
 # Five reporting days and two named Fridays.
 FIVE_DAY = CHECKED.with_(**FIVE_DAY_WEEK, off_template_days=("1995-03-17", "1996-06-14"))
 HOURLY = CHECKED.with_(slot="hour", reporting_weekdays=tuple(range(7)), season=24)
@@ -99,7 +103,7 @@ class Workspace:
     @cached_property
     def predictions(self) -> DataFrame:
         """The fact table of the backtest with its common-support flag."""
-        made = harness.forecasts(self.requests, self.panel, self.engine, self.models)
+        made = harness.forecasts(self.requests, self.panel, self.engine, self.models, self._learned_points(self.requests))
         return stage(harness.with_common_support(made.select(*harness.COLUMNS)), "predictions")
 
     @cached_property
@@ -145,13 +149,17 @@ class Workspace:
         targets = self.requests.filter(F.col("metric").isin(*self.engine.targets))
         return stage(harness.forecasts(targets, self.panel, self.engine, ("sarima",)), "sarima")
 
-    def learned(self, family: str) -> tuple[DataFrame, DataFrame]:
-        """Forecasts of all requests by one tree family, and its stored fits, made once."""
+    def learned_fits(self, family: str) -> DataFrame:
+        """The stored fits of one tree family, made once."""
         if family not in self._learned:
-            made, fits = learned.learned_forecasts(self.requests, self.features, self.targets, self.engine, family)
-            self._learned[family] = (stage(made, "learned"), fits)
+            made = learned.fit_table(self.requests, self.features, self.targets, self.engine, family)
+            self._learned[family] = stage(made, f"fits-{family}")
         return self._learned[family]
 
+    def learned(self, family: str) -> DataFrame:
+        """Forecasts of all requests of the targets by one tree family."""
+        return learned.apply_fits(self.requests, self.features, self.learned_fits(family), self.engine).withColumn("model", F.lit(family))
+
     # --- selection -----------------------------------------------------------
     @cached_property
     def evidence(self) -> DataFrame:
@@ -179,7 +187,17 @@ class Workspace:
         return intervals.pool_quantiles(self.pool, self.engine)
 
     def _points(self, requests: DataFrame) -> DataFrame:
-        return intervals.candidate_points(requests, self.panel, self.engine, self.models, self.pairs)
+        return intervals.candidate_points(
+            requests, self.panel, self.engine, self.models, self.pairs, self._learned_points(requests)
+        )
+
+    def _learned_points(self, requests: DataFrame) -> DataFrame | None:
+        """Forecasts of the candidate tree families for any requests, from fits made once for the backtest."""
+        made = [
+            learned.apply_fits(requests, self.features, self.learned_fits(f), self.engine).withColumn("model", F.lit(f))
+            for f in LEARNED if f in self.models
+        ]
+        return reduce(DataFrame.unionByName, made) if made else None
 
     @cached_property
     def forward(self) -> DataFrame:
