@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -69,6 +70,41 @@ def test_character_map_and_alignment():
     assert character_map(b"") == {}
 
 
+def test_real_character_map_like_the_library(tmp_path):
+    """The vocabulary with a compiled character map of the library in place of its own empty one."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    rules = proto.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=False).serialized_model_proto())
+    changed = proto.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        changed.ParseFromString(f.read())
+    changed.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(changed.SerializeToString())
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), PieceModel(path)
+    assert len(model.map) > 1000
+    for t in [*texts(150), "ﬁne ①② ㍿ ｱｲｳ ﾊﾟ Å Å ½ … ™ ﷺ", "ẛ̣ é e\u0301 a\u00adb\u200bc", "ﾊﾟﾊﾟ" * 50]:
+        ids, ends = model.encode(t)
+        assert ids.tolist() == library.encode(t)
+        assert not len(ends) or ((np.diff(ends) >= 0).all() and ends[-1] == len(t.encode()))
+
+
+def test_long_units_by_heap_like_the_library():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), PieceModel(path)
+    rng = random.Random(11)
+    for n in (63, 64, 65, 200, 3000):
+        for letters in ("abcdefghijklmnop", "ae", "日本語文章長", "ABab01+/"):
+            t = "".join(rng.choice(letters) for _ in range(n))
+            assert model.encode(t)[0].tolist() == library.encode(t)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(300_000))
+    begun = time.perf_counter()
+    assert model.encode(long)[0].tolist() == library.encode(long)
+    assert time.perf_counter() - begun < 60
+
+
 def test_repair_is_cheapest_and_stretches_agree(spark):
     roles = [*chat_roles.ROLES, None]
     for n in range(5):

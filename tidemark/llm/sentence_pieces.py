@@ -13,6 +13,7 @@ remembered per worker under a bound.
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from array import array
@@ -28,6 +29,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 MOST_UNITS = 500_000
+LONG_UNIT = 64  # symbols; beyond, joins are kept in a heap
 LATIN, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", "!-/:-@\\[-`{-~"
 
 
@@ -71,6 +73,7 @@ class PieceModel:
         self.prefix = norm.add_dummy_prefix
         self.map = character_map(norm.precompiled_charsmap)
         self.longest = max(map(len, self.map), default=0)
+        self.starts: tuple[dict, set] | None = None
         self.pieces = {p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type == NORMAL}
         if any(p.type == USER_DEFINED for p in model.pieces):
             raise ValueError("user-defined symbols are not built")
@@ -90,16 +93,22 @@ class PieceModel:
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
     # --- normalising ------------------------------------------------------------
-    def normalise(self, text: str) -> tuple[str, list[int]]:
+    def _starts(self, entries: dict[str, str]) -> set[str]:
+        """The characters that entries of the map begin with."""
+        if self.starts is None or self.starts[0] is not entries:
+            self.starts = entries, {k[0] for k in entries}
+        return self.starts[1]
+
+    def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """The normalised text and the original bytes behind each of its characters.
 
         At every place the longest entry of the character map that starts there is
         replaced; other characters stay.  A replacement's first character answers for
         all its original bytes; original bytes that are replaced by nothing go to the
-        character before them.
+        character before them.  None in place of the sizes: no entry of the map starts in the text, every character is its own.
         """
-        if not self.map:
-            return text, [len(c.encode()) for c in text]
+        if not self.map or self._starts(self.map).isdisjoint(text):
+            return text, None
         out, sizes, i = [], [], 0
         while i < len(text):
             for n in range(min(self.longest, len(text) - i), 0, -1):
@@ -133,6 +142,8 @@ class PieceModel:
 
     def _merge(self, symbols: list[str]) -> list[str]:
         """Join neighbours by score, the leftmost first among equals, until no join is a piece."""
+        if len(symbols) > LONG_UNIT:
+            return self._merge_long(symbols)
         order, none = self.order, len(self.pieces)
         ranks = [order.get(a + b, none) for a, b in zip(symbols, symbols[1:])]
         while ranks:
@@ -148,6 +159,35 @@ class PieceModel:
                 ranks[i - 1] = order.get(symbols[i - 1] + symbols[i], none)
         return symbols
 
+    def _merge_long(self, symbols: list[str]) -> list[str]:
+        """The same for units without end: joins wait in a heap, and symbols are linked, so a join costs a logarithm."""
+        order = self.order
+        after = [*range(1, len(symbols)), -1]
+        before = [-1, *range(len(symbols) - 1)]
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            rank = order.get(symbols[i] + symbols[j])
+            if rank is not None:
+                heapq.heappush(heap, (rank, i, j, len(symbols[i]), len(symbols[j])))
+
+        for i in range(len(symbols) - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, left, right = heapq.heappop(heap)
+            if after[i] != j or len(symbols[i]) != left or len(symbols[j]) != right:
+                continue  # one of the two has been joined since
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            after[i] = after[j]
+            after[j] = -2
+            if after[i] >= 0:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [x for x in symbols if x]
+
     def _unit(self, unit: str, sizes: list[int]) -> tuple[bytes, bytes]:
         """Ids and original byte lengths of one unit, as packed 32-bit integers."""
         ids, lengths, at = array("i"), array("i"), 0
@@ -170,8 +210,8 @@ class PieceModel:
         """Ids, and the end of each piece in bytes of the original text."""
         if not text:
             return np.empty(0, "<i4"), np.empty(0, "<i4")
-        if self.map:
-            normal, sizes = self.normalise(text)
+        normal, sizes = self.normalise(text)
+        if sizes is not None:
             if self.prefix:
                 normal, sizes = " " + normal, [0, *sizes]
             parts, at = [], 0
@@ -181,7 +221,7 @@ class PieceModel:
             lead = 0
         else:
             known, parts = self.known, []
-            for unit in self.units.findall(" " + text if self.prefix else text):
+            for unit in self.units.findall(" " + normal if self.prefix else normal):
                 found = known.get(unit)
                 if found is None:
                     if len(known) >= MOST_UNITS:
