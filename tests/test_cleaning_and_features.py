@@ -139,9 +139,13 @@ def test_digest_changes_with_one_value(spark):
 
 
 def test_chi_square_tail(spark):
-    # textbook 5% points
-    for df, x in ((1, 3.841459), (2, 5.991465), (4, 9.487729), (5, 11.070498)):
-        assert explore._upper_gamma(df, x) == pytest.approx(0.05, abs=1e-6)
+    # textbook points
+    rows = [(1, 3.841459, 0.05), (2, 5.991465, 0.05), (4, 9.487729, 0.05), (5, 11.070498, 0.05), (6, 12.591587, 0.05), (7, 24.321886, 0.001), (3, 0.0, 1.0), (9, 3000.0, 0.0), (6, 3000.0, 0.0)]
+    df = spark.createDataFrame(rows, "df int, x double, want double")
+    for r in df.select("want", explore.chi_square_tail(F.col("x"), F.col("df")).alias("got")).collect():
+        assert r.got == pytest.approx(r.want, abs=1e-6)
+    none = spark.createDataFrame([(None, 3), (1.0, None)], "x double, df int")
+    assert {r[0] for r in none.select(explore.chi_square_tail(F.col("x"), F.col("df"))).collect()} == {None}
 
 
 def test_partial_autocorrelation_of_an_ar1(spark):

@@ -66,36 +66,29 @@ def breaks(panel: DataFrame) -> DataFrame:
     )
 
 
-def _upper_gamma(df: float, x: float) -> float:
-    """Chi-square tail by the half-integer recurrence, starting from erfc or exp."""
-    if not x > 0:
-        return 1.0
-    h = x / 2.0
-    tail, term, a = (
-        (math.exp(-h), math.exp(-h), 1.0)
-        if df % 2 == 0
-        else (math.erfc(math.sqrt(h)), math.exp(-h) * math.sqrt(h) / math.gamma(1.5), 0.5)
+def chi_square_tail(statistic: Column, df: Column) -> Column:
+    """Upper tail of the chi-square distribution for any whole number of degrees of freedom.
+
+    Even ones have a finite sum; for odd ones the series of the lower incomplete gamma function is summed.
+    """
+    h, a = statistic / 2, df.cast("double") / 2
+    even = F.aggregate(
+        F.sequence(F.lit(0), F.greatest(F.floor(a).cast("int") - 1, F.lit(0))),
+        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
+        lambda at, i: F.struct((at["term"] * h / (i + 1)).alias("term"), (at["sum"] + at["term"]).alias("sum")),
+        lambda at: F.exp(-h) * at["sum"],
     )
-    if df % 2 == 0:
-        while a < df / 2:
-            term *= h / a
-            tail += term
-            a += 1
-        return tail
-    a = 1.5
-    while a <= df / 2:
-        tail += term
-        term *= h / a
-        a += 1
-    return tail
-
-
-@F.pandas_udf(T.DoubleType())
-def chi_square_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if s is None or d is None or s != s else _upper_gamma(d, s) for s, d in zip(statistic, df)],
-        dtype="float64",
+    # gamma(a + 1) = sqrt(pi) x 1/2 x 3/2 x ... x a
+    gamma = F.aggregate(F.sequence(F.lit(0), F.floor(a).cast("int")), F.lit(math.sqrt(math.pi)), lambda x, i: x * (i + 0.5))
+    terms = F.sequence(F.lit(1), (F.ceil(h * 2) + 60).cast("int"))
+    lower = F.aggregate(
+        terms, F.struct((F.pow(h, a) * F.exp(-h) / gamma).alias("term"), F.lit(0.0).alias("sum")),
+        lambda at, i: F.struct((at["term"] * h / (a + i)).alias("term"), (at["sum"] + at["term"]).alias("sum")),
+        lambda at: at["sum"] + at["term"],
     )
+    odd = F.when(h > 500, 0.0).otherwise(F.greatest(1 - lower, F.lit(0.0)))
+    tail = F.when(~(statistic > 0), 1.0).when(df % 2 == 0, even).otherwise(odd)
+    return F.when(statistic.isNotNull() & ~F.isnan(statistic) & (df > 0), tail)
 
 
 def kruskal_wallis(panel: DataFrame, on_differences: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@ the same thing, the checking statement."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -157,7 +158,8 @@ add("registry_document", lambda w: tables.registry_document(
     {"gate": "must beat both references on MAE, strictly", "ranking_scope": w.engine.selection_scope,
      "window_rule": w.engine.selection_rule, "tie_break": "prefer unbiased, then the simpler model"},
     provenance.provenance(w.master)))
-add("file_digests", lambda w: provenance.file_digests(w.spark, w.folder + "/orders.parquet"))
+add("file_digests", lambda w: provenance.file_digests(
+    w.spark, [f"{w.folder}/{t}.parquet" for t in ("orders", "lineitem", "customer", "events")]))
 
 ROW_TEXT = """concat_ws('|', CAST(ds AS VARCHAR), CAST(pos AS VARCHAR), CAST(is_imputed AS VARCHAR), coalesce(CAST(intake AS VARCHAR), ''),
     coalesce(CAST(release AS VARCHAR), ''), coalesce(CAST(load AS VARCHAR), ''), CAST(is_imputed_load AS VARCHAR))"""
@@ -165,7 +167,9 @@ add("row_digests", lambda w: provenance.row_digests(w.master),
     f"SELECT series_id, pos, sha256({ROW_TEXT}) AS row_sha256 FROM master")
 DIGESTS = f"SELECT series_id, sha256(string_agg(h, chr(10) ORDER BY pos)) AS series_sha256 FROM (SELECT series_id, pos, sha256({ROW_TEXT}) AS h FROM master) GROUP BY 1"
 add("series_digests", lambda w: provenance.series_digests(w.master), DIGESTS)
-add("table_digest", lambda w: provenance.table_digest(w.master))
+add("table_digest", lambda w: provenance.table_digest(w.master), f"""
+    SELECT count(*) AS n_rows, {" || ".join(f"printf('%08x', CAST(sum(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)) % 4294967296 AS BIGINT))" for k in range(4))} AS digest
+    FROM (SELECT sha256(series_id || '|' || {ROW_TEXT}) AS h FROM master)""")
 PROVENANCE = f"""
     SELECT m.*, d.series_sha256 FROM (SELECT series_id, count(*) AS n_period_positions, count(CASE WHEN NOT is_imputed THEN 1 END) AS n_real_observations,
         count(CASE WHEN is_imputed THEN 1 END) AS n_gap_slots, max(ds) AS data_as_of, min(ds) AS series_starts FROM master GROUP BY 1) m
@@ -182,7 +186,12 @@ def _provenance_match(w: Workspace) -> DataFrame:
     ).select("series_id", "field", "left_value", "matches")
 
 
-add("provenance_match", _provenance_match)
+PROVENANCE_FIELDS = ("n_period_positions", "n_real_observations", "n_gap_slots", "data_as_of", "series_starts", "series_sha256")
+add("provenance_match", _provenance_match, f"""
+    WITH one AS ({PROVENANCE}), two AS ({re.sub("FROM master", "FROM less_master", PROVENANCE)})
+    SELECT coalesce(one.series_id, two.series_id) AS series_id, f.field, f.a AS left_value, f.a IS NOT DISTINCT FROM f.b AS matches
+    FROM one FULL JOIN two ON two.series_id = one.series_id, LATERAL (SELECT unnest([{", ".join(
+        f"{{'field': '{c}', 'a': CAST(one.{c} AS VARCHAR), 'b': CAST(two.{c} AS VARCHAR)}}" for c in PROVENANCE_FIELDS)}], recursive := true)) f""")
 
 # ================================================================= calendar, cleaning, quality
 add("calendar_spine", lambda w: calendar.reporting_spine(w.obs, w.engine), "SELECT series_id, ds FROM spine")
@@ -827,7 +836,10 @@ OBSERVED = "SELECT * FROM panel WHERE NOT is_imputed AND value IS NOT NULL"
 STEPS = "SELECT * FROM (SELECT series_id, metric, ds, value - lag(value) OVER (PARTITION BY series_id, metric ORDER BY pos) AS value FROM panel WHERE NOT is_imputed AND value IS NOT NULL) WHERE value IS NOT NULL"
 add("weekday_kruskal_levels", lambda w: explore.kruskal_wallis(w.panel), _kruskal(OBSERVED), "h_statistic")
 add("weekday_kruskal_differences", lambda w: explore.kruskal_wallis(w.panel, True), _kruskal(STEPS), "h_statistic")
-add("weekday_seasonality_p_values", lambda w: explore.seasonality_test(w.panel))
+add("weekday_seasonality_p_values", lambda w: explore.seasonality_test(w.panel), f"""
+    SELECT *, p_value < 0.05 AS has_within_week_seasonality FROM (
+        SELECT *, CASE WHEN h_statistic > 0 THEN exp(-h_statistic / 2) * list_sum(list_transform(range(0, (n_groups - 1) // 2),
+            lambda i: pow(h_statistic / 2, i) / gamma(i + 1))) ELSE 1 END AS p_value FROM ({_kruskal(OBSERVED)}))""", "h_statistic p_value")
 add("weekday_groups", lambda w: explore.weekday_groups(w.panel), """
     SELECT series_id, metric, CAST(isodow(ds) - 1 AS INTEGER) AS weekday, strftime(ds, '%a') AS label, count(*) AS count, avg(value) AS mean,
         quantile_cont(value, 0.5) AS median, stddev_pop(value) AS std FROM panel WHERE NOT is_imputed AND value IS NOT NULL GROUP BY 1, 2, 3, 4""", "mean median std")
@@ -844,7 +856,17 @@ def _acf(rows: str) -> str:
 
 add("autocorrelation_levels", lambda w: explore.autocorrelation(explore.present(w.targets)), _acf("(SELECT * FROM present WHERE metric <> 'intake')"), "acf")
 add("autocorrelation_differences", lambda w: explore.autocorrelation(explore.differenced(w.targets)), _acf("(SELECT * FROM stepped WHERE metric <> 'intake')"), "acf")
-add("partial_autocorrelation", lambda w: explore.partial_autocorrelation(explore.autocorrelation(explore.present(w.targets))))
+add("partial_autocorrelation", lambda w: explore.partial_autocorrelation(explore.autocorrelation(explore.present(w.targets))), f"""
+    WITH RECURSIVE l AS (SELECT series_id, metric, list(acf ORDER BY lag) AS r FROM ({_acf("(SELECT * FROM present WHERE metric <> 'intake')")}) GROUP BY 1, 2),
+    z AS (
+        SELECT series_id, metric, r, 0 AS k, CAST([] AS DOUBLE[]) AS phi, 1.0::DOUBLE AS pacf FROM l
+        UNION ALL
+        SELECT series_id, metric, r, k + 1, list_append(list_transform(phi, lambda x, i: x - last * phi[len(phi) - i + 1]), last), last
+        FROM (SELECT *, CASE WHEN k = 0 THEN r[2] ELSE
+                (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])))
+                / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1]))) END AS last
+              FROM z WHERE k < len(r) - 1))
+    SELECT series_id, metric, k AS lag, pacf FROM z""", "pacf")
 DECOMPOSED = """
     SELECT *, value - trend - seasonal AS resid FROM (
         SELECT t.*, p.pm - c.centre AS seasonal FROM trended t

@@ -178,6 +178,12 @@ observation_blocks("", "o_orderpriority", "orders")
 observation_blocks("f_", "o_orderpriority", "orders", (6, 0, 1, 2, 3), ("1995-03-17", "1996-06-14"), 5)
 observation_blocks("n_", "CAST(c_nationkey AS VARCHAR)", "orders JOIN customer ON c_custkey = o_custkey")
 
+# the same panel without each series' last day
+block("less_daily", "SELECT * FROM daily d WHERE ds < (SELECT max(ds) FROM daily l WHERE l.series_id = d.series_id)")
+_UP_TO_MASTER = ("obs", "span", "template", "spine", "aligned", "known", "master")
+for _name in _UP_TO_MASTER:
+    block(f"less_{_name}", re.sub(rf"\b(FROM|JOIN) (daily|{'|'.join(_UP_TO_MASTER)})\b", r"\1 less_\2", BLOCKS[_name]))
+
 # ------------------------------------------------------------------ hourly panel
 block("e_obs", """
     SELECT event_type AS series_id, date_trunc('hour', ts) AS ds, count(*) AS intake, count(DISTINCT user_id) AS release,
@@ -355,7 +361,7 @@ def selection_blocks(p: str, condition: str) -> None:
               FROM {p}tied GROUP BY {cell})""")
 
 
-def draws(sizes: str, resamples: int = 200, seed: int = 42) -> str:
+def draws(sizes: str, resamples: int = 10_000, seed: int = 42) -> str:
     """The portable draws: one index per (n, replicate, draw)."""
     return f"""
         SELECT n, rep, c % n AS idx FROM (

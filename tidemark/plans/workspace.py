@@ -27,7 +27,6 @@ CHECKED = Engine(
     ensemble_first=("naive", "exponential_smoothing"),
     ensemble_second=("seasonal_naive", "moving_average"),
     draws="portable",
-    resamples=200,
 )
 CHECKED_MODELS = (*BASELINES, "exponential_smoothing")
 
