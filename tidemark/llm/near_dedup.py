@@ -261,10 +261,14 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "shingles_a", "shingles_b"), compare, "a long, b long")
 
 
-def _salted(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def _salted(df: DataFrame, other: DataFrame, on: str, how: str = "inner", condition: Column | None = None) -> DataFrame:
     """A join in which a value of ``on`` may have any number of rows in ``df``; ``other`` is copied ``SALTS`` times."""
     copies = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")  # never gathered on the driver
-    return df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(copies, [on, "salt"], how).drop("salt")
+    dealt = df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    if condition is None:
+        return dealt.join(copies, [on, "salt"], how).drop("salt")
+    copies = copies.withColumnsRenamed({on: "_on", "salt": "_salt"})
+    return dealt.join(copies, (F.col(on) == F.col("_on")) & (F.col("salt") == F.col("_salt")) & condition, how).drop("salt", "_on", "_salt")
 
 
 def _met(rare: DataFrame, all_pairs: bool) -> DataFrame:
@@ -342,15 +346,24 @@ def _crowd_links(crowd: DataFrame, texts: DataFrame) -> DataFrame:
 
     # distinct sets meet in a prefix ordered by how few sets hold a shingle
     elements = classes.select("held_id", "node", "least_n", F.size("held").alias("k"), F.explode("held").alias("h")).filter("4 * k >= 3 * least_n")
-    ranked = _salted(elements, elements.groupBy("h").agg(F.count("*").alias("sets")), "h").withColumn(
-        "place", F.row_number().over(Window.partitionBy("held_id").orderBy("sets", "h"))
-    ).filter(F.col("place") <= F.col("k") - F.ceil(F.col("least_n") * 3 / 4) + 1)
-    ranked = stage(ranked.join(classes.select("held_id", "from_group", "to_group"), "held_id").select("h", "held_id", "node", "least_n", "from_group", "to_group"), "crowd-prefixes")
-    other = ranked.select("h", *[F.col(c).alias(f"{c}_b") for c in ("held_id", "least_n", "from_group", "to_group")])
-    met = _salted(ranked, other, "h").filter(
+    counted = _salted(elements, elements.groupBy("h").agg(F.count("*").alias("sets")), "h")
+    ordered = counted.groupBy("held_id", "least_n", "k").agg(F.sort_array(F.collect_list(F.struct("sets", "h")))["h"].alias("order"))
+    reach = (F.col("k") - F.ceil(F.col("least_n") * 3 / 4) + 1).cast("int")
+    prefixes = stage(
+        ordered.select("held_id", "least_n", "k", F.slice("order", F.lit(1), reach).alias("prefix"))
+        .join(classes.select("held_id", "node", "from_group", "to_group"), "held_id"),
+        "crowd-prefixes",
+    )
+    ranked = prefixes.select("held_id", "node", "least_n", "k", "from_group", "to_group", "prefix", F.posexplode("prefix").alias("place", "h"))
+    other = ranked.select("h", *[F.col(c).alias(f"{c}_b") for c in ("held_id", "least_n", "k", "from_group", "to_group", "prefix", "place")])
+    # two sets meet once, at the first shingle they have in common, and only if enough can follow it
+    first = ~F.arrays_overlap(F.slice("prefix", F.lit(1), F.col("place")), F.slice("prefix_b", F.lit(1), F.col("place_b")))
+    enough = 7 * F.least(F.col("k") - F.col("place"), F.col("k_b") - F.col("place_b")) >= 3 * (F.col("least_n") + F.col("least_n_b"))
+    met = stage(_salted(ranked, other, "h", condition=(
         (F.col("held_id") < F.col("held_id_b")) & (100 * F.least("least_n", "least_n_b") >= 75 * F.greatest("least_n", "least_n_b"))
         & ~((F.col("from_group") == F.col("to_group")) & (F.col("from_group_b") == F.col("to_group_b")) & (F.col("from_group") == F.col("from_group_b")))
-    ).select("held_id", "held_id_b").distinct()
+        & enough & first
+    )).select("held_id", "held_id_b"), "crowd-met")
 
     def common(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = [
