@@ -12,7 +12,7 @@ from tidemark.session import ship_package
 from tidemark.sources import raw_text
 from tests.helpers import ENGINE, START
 
-ENGINE = ENGINE.with_(trees=3, boosting_rounds=2, targets=("load",))
+ENGINE = ENGINE.with_(trees=3, boosting_rounds=2, refit_days=91, targets=("load",))
 
 
 def test_one_boosted_tree_by_hand():

@@ -124,7 +124,7 @@ class Engine:
     trees: int = 300
     boosting_rounds: int = 300
     # tree fits are shared by all origins of so many days
-    refit_days: int = 91
+    refit_days: int = 182
     # pairs a tree fit draws from a larger pool
     fit_rows: int = 50_000
     seed: int = 42

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 BINS = 64
-TREES_AT_ONCE = 25
+# (tree, row) pairs grown together
+PAIRS_AT_ONCE = 30_000
 
 
 @dataclass
@@ -161,8 +162,9 @@ def random_forest(x: np.ndarray, y: np.ndarray, trees: int, depth: int, least: i
     tried = max(1, int(np.sqrt(x.shape[1])))
     centre = float(y.mean())
     parts = []
-    for begin in range(0, trees, TREES_AT_ONCE):
-        some = min(TREES_AT_ONCE, trees - begin)
+    together = max(1, PAIRS_AT_ONCE // len(y))
+    for begin in range(0, trees, together):
+        some = min(together, trees - begin)
         weight = np.stack([np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)) for _ in range(some)]).astype(float)
         parts.append(grow(codes, cuts, weight, np.broadcast_to(y - centre, weight.shape), depth, least, tried, rng)[:4])
     predictor, cut, value, gains = (np.concatenate(p) for p in zip(*parts))
