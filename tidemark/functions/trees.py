@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BINS = 64
+BINS = 32
 # (tree, row) pairs grown together
 PAIRS_AT_ONCE = 30_000
 

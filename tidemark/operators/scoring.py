@@ -26,18 +26,22 @@ def interpolated_actual() -> Column:
     return ~F.col("y_true_is_observed") & F.col("y_true").isNotNull()
 
 
-def metrics_matrix(
-    predictions: DataFrame, keys: list[str] = CELL, only_observed: bool = True
-) -> DataFrame:
-    """All measures per group; interpolated actuals are counted but never scored."""
-    seen = F.col("y_true_is_observed") if only_observed else F.lit(True)
+def _measures(inside: Column, only_observed: bool, folds_once: bool) -> list[Column]:
+    """The matrix's columns over the rows ``inside``.
+
+    ``folds_once``: a group holds a fold in one row at most, so folds are counted and need no distinct count.
+    """
+    seen = inside & F.col("y_true_is_observed") if only_observed else inside
     # an unscored row must not enter n_total either, so it is masked to NULL
     y = F.when(seen, _y())
     f = F.when(seen, _f())
-    total = F.count_if(seen)
-    parts = [
+    contaminated = inside & F.col("gap_contaminated")
+    folds = [F.count_if(inside), F.count_if(contaminated)] if folds_once else [
+        F.count_distinct(F.when(c, F.col("fold_id"))) for c in (inside, contaminated)
+    ]
+    return [
         F.count_if(S.paired(y, f)).alias("n_scored"),
-        total.alias("n_total"),
+        F.count_if(seen).alias("n_total"),
         F.count_if(seen & _y().isNull()).alias("n_missing_actual"),
         F.count_if(y.isNotNull() & f.isNull()).alias("n_missing_pred"),
         S.zero_actuals(y, f).alias("n_zero_actual_excluded_from_mape"),
@@ -47,30 +51,31 @@ def metrics_matrix(
         S.smape(y, f).alias("sMAPE"),
         S.pooled_mase(y, f, F.col("mase_scale")).alias("MASE"),
         S.mean_error(y, f).alias("ME_bias"),
-        F.count_if(interpolated_actual()).alias("n_excluded_interpolated_actual"),
-        F.count_distinct("fold_id").alias("n_folds"),
-        F.count_distinct(F.when(F.col("gap_contaminated"), F.col("fold_id"))).alias(
-            "n_gap_contaminated_folds"
-        ),
+        F.count_if(inside & interpolated_actual()).alias("n_excluded_interpolated_actual"),
+        folds[0].alias("n_folds"),
+        folds[1].alias("n_gap_contaminated_folds"),
     ]
-    return predictions.groupBy(*keys).agg(*parts)
 
 
-def scoped(predictions: DataFrame) -> DataFrame:
-    """Each row once per evaluation scope it belongs to."""
-    recent, common = F.col("origin_post_cutoff"), F.col("common_support")
-    tags = F.array(
-        F.lit(ALL_FOLDS),
-        F.when(common, F.lit(COMMON)),
-        F.when(recent, F.lit(RECENT)),
-        F.when(recent & common, F.lit(RECENT_COMMON)),
-    )
-    return predictions.withColumn("fold_scope", F.explode(F.array_compact(tags)))
+def metrics_matrix(
+    predictions: DataFrame, keys: list[str] = CELL, only_observed: bool = True
+) -> DataFrame:
+    """All measures per group; interpolated actuals are counted but never scored.
+
+    A prediction table holds a fold once per cell; groups that are coarser than cells count distinct folds.
+    """
+    return predictions.groupBy(*keys).agg(*_measures(F.lit(True), only_observed, set(CELL) <= set(keys)))
 
 
 def scoped_metrics(predictions: DataFrame) -> DataFrame:
-    """The four overlapping scopes scored in one aggregation."""
-    return metrics_matrix(scoped(predictions), ["fold_scope", *CELL])
+    """The four overlapping scopes scored in one aggregation; rows are not copied, each scope has its own columns in it."""
+    recent, common = F.col("origin_post_cutoff"), F.col("common_support")
+    scopes = {ALL_FOLDS: F.lit(True), COMMON: common, RECENT: recent, RECENT_COMMON: recent & common}
+    made = predictions.groupBy(*CELL).agg(*[
+        F.struct(F.lit(name).alias("fold_scope"), *_measures(inside, True, True)).alias(name) for name, inside in scopes.items()
+    ])
+    each = made.select(*CELL, F.explode(F.array(*scopes)).alias("m")).filter("m.n_folds > 0")
+    return each.select("m.fold_scope", *CELL, *[f"m.{c}" for c in made.schema[ALL_FOLDS].dataType.fieldNames()[1:]])
 
 
 def pooled_metrics(predictions: DataFrame) -> DataFrame:
