@@ -39,6 +39,8 @@ FIRST_TREES = 6
 # equal ones on average, and fewer than 197 about once in fifty million pairs.
 EQUAL_FLOOR = 197
 MARKS = 1 << 23
+OFTEN_MARKS = 1 << 23
+LEVELS = 12  # of frequency, each four times the one before
 OFTEN = 32  # in crowded regions, shingles in more texts than that are compared as sets
 SALTS = 32
 
@@ -219,20 +221,40 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _similar(pairs, _sets(involved, texts))
 
 
+def _bitmap(rows: DataFrame, key: Column, size: int) -> np.ndarray:
+    """The marks ``key`` modulo ``size`` that occur in ``rows``, as bits: of fixed size, gathered in parts of 4 kB."""
+    mark = F.pmod(key, F.lit(size)) + 1
+    bits = np.zeros(size // 8 + 4096, np.uint8)
+    marked = rows.select(mark.alias("m")).groupBy(F.bitmap_bucket_number("m").alias("bucket"))
+    for r in marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("m")).alias("bits")).collect():
+        at = (r["bucket"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _levels(counts: DataFrame) -> list[np.ndarray]:
+    """Bitmaps of the marks of h with a count above OFTEN, and above four times as much, and so on: LEVELS of a fixed size."""
+    level = F.least(F.floor(F.log2(F.col("count") / OFTEN) / 2).cast("int"), F.lit(LEVELS - 1))
+    mark = F.pmod(F.xxhash64("h"), F.lit(OFTEN_MARKS)) + 1
+    each = counts.select(mark.alias("m"), F.explode(F.sequence(F.lit(0), level)).alias("level"))
+    bits = [np.zeros(OFTEN_MARKS // 8 + 4096, np.uint8) for _ in range(LEVELS)]
+    parts = each.groupBy("level", F.bitmap_bucket_number("m").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("m")).alias("bits"))
+    for r in parts.collect():
+        at = (r["bucket"] - 1) * 4096
+        bits[r["level"]][at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
 def _sets(involved: DataFrame, texts: DataFrame) -> DataFrame:
     """node, shingles of the texts whose node is in ``involved``."""
     # which texts are needed, as a bitmap of fixed size: only their sets are made and shuffled.  Ids that share
     # a mark with a needed one are dropped by the join that follows.
-    mark = F.pmod(F.xxhash64("node"), F.lit(MARKS)) + 1
-    bits = np.zeros(MARKS // 8 + 4096, np.uint8)
-    marked = involved.select(mark.alias("m")).groupBy(F.bitmap_bucket_number("m").alias("bucket"))
-    for r in marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("m")).alias("bits")).collect():
-        at = (r["bucket"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    mark = F.pmod(F.xxhash64("node"), F.lit(MARKS))
+    bits = _bitmap(involved, F.xxhash64("node"), MARKS)
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        m = batch.column("mark").to_numpy() - 1
+        m = batch.column("mark").to_numpy()
         batch = batch.filter(pa.array((sent.value[m >> 3] >> (m & 7).astype(np.uint8)) & 1 == 1))
         if not batch.num_rows:
             return None
@@ -308,13 +330,34 @@ def _crowd_links(crowd: DataFrame, texts: DataFrame) -> DataFrame:
         .withColumn("n", F.size("shingles").cast("long")).join(crowd, "node"),
         "crowd-sets",
     )
-    rows = sets.select("node", "group", "kind", "n", F.explode("shingles").alias("h"))
-    often = rows.groupBy("h").count().filter(F.col("count") > OFTEN).select("h", F.lit(True).alias("often"))
-    rows = stage(_salted(rows, often, "h", "left"), "crowd-rows")
+    counts = sets.select(F.explode("shingles").alias("h")).groupBy("h").count().filter(F.col("count") > OFTEN)
+    sent = texts.sparkSession.sparkContext.broadcast(_levels(counts))
+
+    def divide(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rare, held = [], []
+        for own, marks in zip(batch.column("shingles"), batch.column("marks")):
+            h, m = own.values.to_numpy(), marks.values.to_numpy()
+            level = sum((bits[m >> 3] >> (m & 7).astype(np.uint8)) & 1 for bits in sent.value)
+            rare.append(h[level == 0])
+            held.append(h[level > 0][np.lexsort((h[level > 0], level[level > 0]))])
+        lists = [
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in part])]), pa.int32()), pa.array(np.concatenate(part)))
+            for part in (rare, held)
+        ]
+        names = ["node", "group", "kind", "n"]
+        return pa.RecordBatch.from_arrays([*map(batch.column, names), *lists], [*names, "rare", "held"])
+
+    # ``held`` has the less frequent ones first.  A rare shingle that shares its mark with a frequent one counts as frequent in
+    # every text, so both ways below stay exact.
+    marks = F.transform("shingles", lambda h: F.pmod(F.xxhash64(h), F.lit(OFTEN_MARKS)))
+    divided = stage(
+        arrow_map(sets.withColumn("marks", marks), divide, "node long, group long, kind long, n long, rare array<long>, held array<long>"),
+        "crowd-divided",
+    )
 
     # By a shingle that few hold.  Rare ones first, the first shingle that two similar texts have in common is among the
     # n - ceil(0.75 n) + 1 first of both, so only those are offered.
-    rare = rows.filter("often is null").withColumn("held_by", F.count("*").over(Window.partitionBy("h")))
+    rare = divided.select("node", "group", "n", F.explode("rare").alias("h")).withColumn("held_by", F.count("*").over(Window.partitionBy("h")))
     rare = rare.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("held_by", "h")))
     rare = stage(rare.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1).select("h", "node", "group", "n"), "crowd-rare")
     # every text meets the smallest of its list; what that joins is not compared again
@@ -329,11 +372,7 @@ def _crowd_links(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     by_rare = stars.unionByName(_similar(_met(rare, all_pairs=True), sets.select("node", "shingles")))
 
     # by frequent shingles alone
-    members = stage(
-        rows.filter("often").groupBy("node", "group", "kind", "n").agg(F.array_sort(F.collect_list("h")).alias("held"))
-        .withColumn("held_id", F.xxhash64("held")),
-        "crowd-members",
-    )
+    members = divided.filter(F.size("held") > 0).select("node", "group", "kind", "n", "held", F.xxhash64("held").alias("held_id"))
     classes = stage(
         members.groupBy("held_id", "held").agg(
             F.min(F.struct("n", "node")).alias("least"), F.min("group").alias("from_group"), F.max("group").alias("to_group")
@@ -345,14 +384,10 @@ def _crowd_links(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     inside = _salted(slim, heads, "held_id").filter((7 * F.col("common") >= 3 * (F.col("n") + F.col("least_n"))) & (F.col("node") != F.col("head")))
 
     # distinct sets meet in a prefix ordered by how few sets hold a shingle
-    elements = classes.select("held_id", "node", "least_n", F.size("held").alias("k"), F.explode("held").alias("h")).filter("4 * k >= 3 * least_n")
-    counted = _salted(elements, elements.groupBy("h").agg(F.count("*").alias("sets")), "h")
-    ordered = counted.groupBy("held_id", "least_n", "k").agg(F.sort_array(F.collect_list(F.struct("sets", "h")))["h"].alias("order"))
-    reach = (F.col("k") - F.ceil(F.col("least_n") * 3 / 4) + 1).cast("int")
-    prefixes = stage(
-        ordered.select("held_id", "least_n", "k", F.slice("order", F.lit(1), reach).alias("prefix"))
-        .join(classes.select("held_id", "node", "from_group", "to_group"), "held_id"),
-        "crowd-prefixes",
+    k = F.size("held")
+    reach = (k - F.ceil(F.col("least_n") * 3 / 4) + 1).cast("int")
+    prefixes = classes.filter(4 * k >= 3 * F.col("least_n")).select(
+        "held_id", "node", "least_n", k.alias("k"), "from_group", "to_group", F.slice("held", F.lit(1), reach).alias("prefix")
     )
     ranked = prefixes.select("held_id", "node", "least_n", "k", "from_group", "to_group", "prefix", F.posexplode("prefix").alias("place", "h"))
     other = ranked.select("h", *[F.col(c).alias(f"{c}_b") for c in ("held_id", "least_n", "k", "from_group", "to_group", "prefix", "place")])
