@@ -13,7 +13,7 @@ from tidemark.plans.workspace import ALL_MODELS, FULL, open_workspace
 
 FOLDER = "/root/testdata/sf0.001"
 # the engine as it stands, with few trees and with draws that SQL can repeat
-ENGINE = FULL.with_(trees=4, boosting_rounds=4, refit_days=365, resamples=200, draws="portable")
+ENGINE = FULL.with_(trees=4, boosting_rounds=4, refit_days=365, draws="portable")
 TABLES = ("orders", "lineitem", "customer", "events")
 
 
