@@ -217,9 +217,16 @@ def arima_forecast(y: np.ndarray, leads: list[int], spec: ArimaSpec, m: int) ->
     return arima_paths(held, [leads])[0]["made"]
 
 
+# Values a fit needs besides those its differences use up.
+VALUES_PER_TERM, LEAST_SEASONS, SPARE_VALUES = 3, 2, 2
+
+
 def arima_minimum(spec: ArimaSpec, m: int) -> int:
-    (p, d, q), (P, D, Q) = spec.order, spec.seasonal_order
-    return d + D * m + max(3 * (p + q + P + Q), 2 * m) + 2
+    """Fewest finite values of a fit."""
+    plain, seasonal = spec.order, spec.seasonal_order
+    used_up = plain[1] + m * seasonal[1]
+    terms = sum(plain[::2]) + sum(seasonal[::2])
+    return used_up + max(VALUES_PER_TERM * terms, LEAST_SEASONS * m) + SPARE_VALUES
 
 
 def _arima_group(spec: ArimaSpec, m: int, pos, value, requests: pd.DataFrame) -> pd.DataFrame:
