@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pytest
+from tidemark.config import LEARNED
 from tidemark.functions.trees import Trees
 from tidemark.operators import learned
-from tidemark.plans.workspace import FULL, open_workspace
-from tidemark.session import ship_package
+from tidemark.plans.workspace import ALL_MODELS, FULL, open_workspace
+from tidemark.session import ship_package, side_by_side
 
 FOLDER = "/root/testdata/sf0.001"
 ENGINE = FULL.with_(trees=3, boosting_rounds=2, refit_days=730)
@@ -48,3 +51,29 @@ def test_shared_trees_are_those_of_each_rule(space):
             held = Trees.load(stored[key].model)
             for name in ("predictor", "cut", "value", "importance", "medians"):
                 assert np.array_equal(getattr(held, name), getattr(made, name))
+
+
+def test_both_families_are_fitted_from_pairs_made_once(spark, monkeypatch):
+    few = ENGINE.with_(refit_days=3650)
+    space = open_workspace(spark, FOLDER, few, models=ALL_MODELS, fresh=True)
+    calls, pairs = [], learned.window_pairs
+    monkeypatch.setattr(learned, "window_pairs", lambda *given: calls.append(given) or pairs(*given))
+    together = {f: {tuple(r[k] for k in learned.FIT): r for r in space.learned_fits(f).collect()} for f in LEARNED}
+    assert len(calls) == 1
+    for family in LEARNED:
+        apart = {tuple(r[k] for k in learned.FIT): r for r in learned.fit_table(space.requests, space.features, space.targets, few, family).collect()}
+        assert together[family].keys() == apart.keys() and len(apart) > 0
+        for key, row in apart.items():
+            assert together[family][key].asDict() == row.asDict()
+
+
+def test_independent_steps_run_at_the_same_time(spark):
+    meeting = threading.Barrier(2, timeout=60)
+
+    def step(n):
+        meeting.wait()
+        return spark.range(n).count()
+
+    assert side_by_side(spark, lambda: step(3), lambda: step(5)) == [3, 5]
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, lambda: 1, lambda: 1 / 0)
