@@ -8,7 +8,8 @@ of the original text that it covers.
 
 Merges cannot cross a place where no vocabulary piece has the two neighbouring
 characters side by side, so texts are cut there into units whose encodings are
-remembered per worker under a bound.
+remembered per worker under a bound.  The units of a long text are taken some at a
+time, so a text needs a few times its own size in memory.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import heapq
 import re
 import struct
 from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 MOST_UNITS = 500_000
 LONG_UNIT = 64  # symbols; beyond, joins are kept in a heap
+LONG_TEXT = 1_000_000  # characters; beyond, units are taken so many at a time
+AT_ONCE = 100_000  # units of a long text, or ids
 LATIN, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", "!-/:-@\\[-`{-~"
 
 
@@ -56,6 +61,21 @@ def character_map(blob: bytes) -> dict[str, str]:
     return out
 
 
+class Encoded(dict):
+    """Units with their encodings: missing ones are made, short ones kept, under a bound."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, unit: str) -> bytes:
+        made = self.make(unit, None if unit.isascii() else [len(c.encode()) for c in unit])
+        if len(unit) <= 16:
+            if len(self) >= MOST_UNITS:
+                self.clear()
+            self[unit] = made
+        return made
+
+
 class PieceModel:
     """A BPE model: normalising, encoding with original byte spans, decoding."""
 
@@ -90,7 +110,7 @@ class PieceModel:
             for p in model.pieces
         ]
         self.units = self._units()
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known = Encoded(self._unit)
 
     # --- normalising ------------------------------------------------------------
     def _starts(self, entries: dict[str, str]) -> set[str]:
@@ -160,22 +180,28 @@ class PieceModel:
         return symbols
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
-        """The same for units without end: joins wait in a heap, and symbols are linked, so a join costs a logarithm."""
-        order = self.order
-        after = [*range(1, len(symbols)), -1]
-        before = [-1, *range(len(symbols) - 1)]
-        heap: list[tuple[int, int, int, int, int]] = []
+        """The same for units without end: joins wait in a heap, and symbols are linked, so a join costs a logarithm.
+
+        A join waits as one number, its rank before its place; it holds if the two symbols at that place still have that rank.
+        """
+        order, n = self.order, len(symbols)
+        wide = n.bit_length()
+        after, before = array("i", [*range(1, n), -1]), array("i", range(-1, n - 1))
+        heap = [
+            rank << wide | i for i, rank in enumerate(map(order.get, map(str.__add__, symbols, islice(symbols, 1, None)))) if rank is not None
+        ]
+        heapq.heapify(heap)
 
         def offer(i: int, j: int) -> None:
             rank = order.get(symbols[i] + symbols[j])
             if rank is not None:
-                heapq.heappush(heap, (rank, i, j, len(symbols[i]), len(symbols[j])))
+                heapq.heappush(heap, rank << wide | i)
 
-        for i in range(len(symbols) - 1):
-            offer(i, i + 1)
         while heap:
-            _, i, j, left, right = heapq.heappop(heap)
-            if after[i] != j or len(symbols[i]) != left or len(symbols[j]) != right:
+            first = heapq.heappop(heap)
+            i = first & (1 << wide) - 1
+            j = after[i]
+            if j < 0 or order.get(symbols[i] + symbols[j]) != first >> wide:
                 continue  # one of the two has been joined since
             symbols[i] += symbols[j]
             symbols[j] = ""
@@ -188,57 +214,62 @@ class PieceModel:
                 offer(before[i], i)
         return [x for x in symbols if x]
 
-    def _unit(self, unit: str, sizes: list[int]) -> tuple[bytes, bytes]:
-        """Ids and original byte lengths of one unit, as packed 32-bit integers."""
-        ids, lengths, at = array("i"), array("i"), 0
+    def _unit(self, unit: str, sizes: list[int] | None) -> bytes:
+        """Each id of one unit with its original byte length, as packed 32-bit integers; ``sizes`` None: a byte a character."""
+        pairs, at, pieces = array("i"), 0, self.pieces
         for piece in self._merge(list(unit.replace(" ", BLANK))):
-            size = sum(sizes[at : at + len(piece)])
-            at += len(piece)
-            if piece in self.pieces:
-                ids.append(self.pieces[piece][0])
-                lengths.append(size)
+            end = at + len(piece)
+            size = end - at if sizes is None else sum(sizes[at:end])
+            at = end
+            found = pieces.get(piece)
+            if found is not None:
+                pairs.extend((found[0], size))
             elif self.byte_ids:
-                raw = piece.encode()
-                ids.extend([self.byte_ids[b] for b in raw])
-                lengths.extend([0] * (len(raw) - 1) + [size])  # the last byte answers for the character
+                *most, last = [self.byte_ids[b] for b in piece.encode()]
+                for i in most:
+                    pairs.extend((i, 0))
+                pairs.extend((last, size))  # the last byte answers for the character
             else:
-                ids.append(self.unknown)
-                lengths.append(size)
-        return ids.tobytes(), lengths.tobytes()
+                pairs.extend((self.unknown, size))
+        return pairs.tobytes()
+
+    def _cut(self, text: str) -> Iterator[list[str]]:
+        """The units of a text, all at once or, of a long text, ``AT_ONCE`` at a time."""
+        if len(text) <= LONG_TEXT:
+            yield self.units.findall(text)
+            return
+        found = self.units.finditer(text)
+        while some := [m[0] for m in islice(found, AT_ONCE)]:
+            yield some
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the end of each piece in bytes of the original text."""
         if not text:
             return np.empty(0, "<i4"), np.empty(0, "<i4")
         normal, sizes = self.normalise(text)
-        if sizes is not None:
-            if self.prefix:
-                normal, sizes = " " + normal, [0, *sizes]
-            parts, at = [], 0
-            for unit in self.units.findall(normal):
-                parts.append(self._unit(unit, sizes[at : at + len(unit)]))
-                at += len(unit)
-            lead = 0
-        else:
-            known, parts = self.known, []
-            for unit in self.units.findall(" " + normal if self.prefix else normal):
-                found = known.get(unit)
-                if found is None:
-                    if len(known) >= MOST_UNITS:
-                        known.clear()
-                    found = self._unit(unit, [1] * len(unit) if unit.isascii() else [len(c.encode()) for c in unit])
-                    if len(unit) <= 16:
-                        known[unit] = found
-                parts.append(found)
-            lead = int(self.prefix)
-        ids = np.frombuffer(b"".join([p[0] for p in parts]), "<i4")
-        lengths = np.frombuffer(b"".join([p[1] for p in parts]), "<i4")
-        return ids, np.maximum(np.cumsum(lengths) - lead, 0)
-
-    def decode(self, ids: list[int]) -> str:
+        if self.prefix:
+            normal, sizes = " " + normal, None if sizes is None else [0, *sizes]
+        lead = int(self.prefix and sizes is None)
+        ids, ends, at, end = [], [], 0, -lead
+        for units in self._cut(normal):
+            if sizes is None:
+                made = map(self.known.__getitem__, units)
+            else:
+                made = []
+                for unit in units:
+                    made.append(self._unit(unit, sizes[at : at + len(unit)]))
+                    at += len(unit)
+            pairs = np.frombuffer(b"".join(made), "<i4").reshape(-1, 2)
+            ids.append(pairs[:, 0].copy())
+            ends.append(end + np.cumsum(pairs[:, 1], dtype=np.int64))
+            end = int(ends[-1][-1])
+            ends[-1] = np.maximum(ends[-1], 0).astype("<i4")
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids; the blank put in front is taken off again."""
-        surface = self.surface
-        raw = b"".join([surface[i] for i in ids])
+        surface, ids = self.surface, np.asarray(ids)
+        raw = b"".join(b"".join(map(surface.__getitem__, ids[at : at + AT_ONCE].tolist())) for at in range(0, len(ids), AT_ONCE))
         if self.prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
@@ -260,7 +291,7 @@ def encode_decode(docs: DataFrame, model: str, carry: tuple = ()) -> DataFrame:
             i, e = machine.encode(text)
             ids.append(i)
             ends.append(e)
-            texts.append(machine.decode(i.tolist()))
+            texts.append(machine.decode(i))
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]), pa.int32())
 
         def lists(parts: list[np.ndarray]) -> pa.Array:
